@@ -62,13 +62,16 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, head: int = HEAD) -> D
     unsettled = start.join(open_, ["size", "head"], "left_semi").select("doc_id", "text_sha256").distinct()
     unsettled = written(unsettled, "unsettled")
     key = F.struct(F.col("doc_id"), F.col("text_sha256"))
-    fetched = docs.join(unsettled.select("doc_id").distinct().withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    fetched = fetched.withColumn("text_sha256", F.sha2(F.encode("text", "utf-8"), 256)).withColumn("row", key).select("row", "text").dropDuplicates(["row"])
+    fetched = docs.join(unsettled.select("doc_id").distinct().withColumnRenamed("doc_id", "d").hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    fetched = fetched.withColumn("text_sha256", F.sha2(F.encode("text", "utf-8"), 256)).withColumn("row", key).select("row", "text")
+    fetched = written(fetched, "fetched")
+    if unsettled.count() < fetched.count():  # a doc_id repeats
+        fetched = fetched.dropDuplicates(["row"])
     names = written(text_names(fetched, block).select(F.col("row.doc_id").alias("d"), F.col("row.text_sha256").alias("s"), "name"), "identity")
     match = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_sha256") == F.col("s"))
     rows = written(start.select("doc_id", "text_sha256").join(names, match, "left").select("doc_id", "text_sha256", "name"), "rows")
     groups = written(rows.where("name is not null").groupBy("name").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")), "groups")
-    for table in (start, open_, unsettled):
+    for table in (start, open_, unsettled, fetched):
         forget(table)
     result = rows.join(groups, "name", "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
