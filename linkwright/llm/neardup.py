@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     first = shared.join(leaders, "key").where("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     first = first.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").where(differing("ma", "mb") <= RADIUS).select("a", "b")
     first = written(first, "pairs")
-    sets = written(docs.join(weight.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc long, shingles array<long>"), "sets")
+    sets = written(docs.join(weight.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, shingles array<long>"), "sets")
     links = written(confirmed(first, sets, percent), "links")
     found = written(components(links), "found")
     # Documents outside their leader's component, against all others of the key.

@@ -103,7 +103,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     shared = written(filed.groupBy("anchor").agg(twice.alias("twice")).where("twice").select("anchor"), "shared")
     of_doc = written(filed.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared")), "of_doc")
     forget(anchors)
-    candidates = docs.join(of_doc, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_candidates, CANDIDATES)
+    candidates = docs.join(of_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_candidates, CANDIDATES)
     candidates = written(candidates, "candidates")
     if with_text:
         candidates = candidates.drop("text").join(docs.where("doc_id is not null"), "doc_id", "left")
@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     repeats = windows.join(repeated, "window").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("repeats"))
     repeats = written(repeats, "repeats")
     forget(repeated)
-    final = candidates.select("doc_id", "n_words", "text", "kept_sha256").join(repeats, "doc_id", "left").mapInArrow(_removed(with_text), RESULT)
+    final = candidates.select("doc_id", "n_words", "text", "kept_sha256").join(repeats.hint("merge"), "doc_id", "left").mapInArrow(_removed(with_text), RESULT)
     return final if with_text else final.drop("kept_text")
 
 
