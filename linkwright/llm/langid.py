@@ -31,7 +31,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     points = np.where(_letters()[points], points, 0).astype(np.uint64)
     if not points.any():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    points = np.concatenate([[0], points, [0]]).astype(np.uint64)
+    points = np.pad(points, 1)
     points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
     pairs = points[:-1] << _B | points[1:]
     triples = pairs[:-1] << _B | points[2:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdup, langid, neardup, packing, pii, quality, substring, tokenbin, toxicity
+from . import exactdup, langid, neardup, packing, pii, quality, segmentation, substring, tokenbin, toxicity
 from .runtime import documents
 
 
@@ -32,6 +32,10 @@ def op5_exact_duplicates(spark, sf_dir):
     return exactdup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_segmentations(spark, sf_dir):
+    return segmentation.sampled_segmentations(documents(spark, sf_dir), vocabulary(segmentation.VOCABULARY))
+
+
 def op7_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), vocabulary(packing.VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_token_ids, op4_toxicity, op5_exact_duplicates, op7_quality, op8_substring_dedup, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_token_ids, op4_toxicity, op5_exact_duplicates, op6_segmentations, op7_quality, op8_substring_dedup, op9_language, op10_packing)}
 
 ORACLE_SQL = {
     "op5_exact_duplicates": """
