@@ -8,6 +8,7 @@ that a document's place in the whole sequence needs the shards' totals only.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -20,80 +21,41 @@ from .runtime import scratch_path, tune
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 STORED = "shard int, doc_id long, n_tokens long, before long, ids array<int>"
-WORDS_HELD = 300_000
-
-
 class WordEncoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are those of its space-separated words, one
-    after the other. Words are encoded by the tokenizer once and then looked up; at most `held` are kept. Plain words that
-    are new go to the tokenizer as one text: every such word ends in exactly one id that closes a word.
-    Texts that hold a special token's string go to the tokenizer whole.
+    The vocabulary drops white space and marks the end of a word. Plain texts (ASCII, Latin letters with accents, line ends
+    and tabs) are lower-cased and their words set apart by one space, which stands for the mark; tiktoken's merge loop then
+    runs on the vocabulary's own merge order, about three times as fast. All other texts go to the tokenizer.
     """
 
-    def __init__(self, path: str, held: int = WORDS_HELD):
+    #: No character of these changes under NFC, and all letters keep one lower-case letter.
+    _PLAIN = re.compile("[\\n\\t -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+    #: What the tokenizer splits off besides runs of letters: contractions, single digits, runs of other signs.
+    _MARKS = re.compile("'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \\n\\ta-z0-9\u00df-\u024f]+")
+
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.held = held
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.starts, self.sizes, self.pool, self.used = [0], [0], [np.empty(0, np.int32)], 0
-
-    def _add(self, word: str, ids: np.ndarray) -> None:
-        self.index[word] = len(self.starts)
-        self.starts.append(self.used)
-        self.sizes.append(len(ids))
-        self.pool.append(ids)
-        self.used += len(ids)
-
-    def _ids(self, word: str) -> np.ndarray:
-        i = self.index[word]
-        return self.pool[i]
-
-    def _learn(self, words: set[str]) -> None:
-        split = {w: (w[: len(w.rstrip(".,"))], w[len(w.rstrip(".,")) :]) for w in words}
-        parts = {p for pair in split.values() for p in pair if p} - self.index.keys()
-        plain = [p for p in parts if p.lower().isalpha()]
-        for i in range(0, len(plain), 4000):
-            some = plain[i : i + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some):
-                for word, got in zip(some, np.split(ids, ends[:-1]), strict=True):
-                    self._add(word, got)
-        other = [p for p in parts if p not in self.index]
-        for word, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-            self._add(word, np.array(got.ids, np.int32))
-        for word, (core, tail) in split.items():
-            if word not in self.index:
-                self._add(word, np.concatenate([self._ids(core), self._ids(tail)]))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > self.held:
-            self.clear()
-        words = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        index = self.index
-        if new := {w for doc in words for w in doc if w not in index}:
-            self._learn(new)
-        starts, sizes, pool = np.array(self.starts), np.array(self.sizes), np.concatenate(self.pool)
-        out = []
-        for text, doc in zip(texts, words, strict=True):
-            if text and any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
-                continue
-            at = np.fromiter(map(index.__getitem__, doc), np.int64, len(doc))
-            n = sizes[at]
-            ends = np.cumsum(n)
-            out.append(pool[np.arange(ends[-1]) + np.repeat(starts[at] - ends + n, n)])
-        return out
+        byte_of = byte_letters()
+        ranks = {bytes(byte_of[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>"): i for t, i in self.tokenizer.get_vocab().items() if t not in self.special}
+        self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        if not self._PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        words = self._MARKS.sub(r" \g<0> ", text.lower()).split()
+        return self.fast.encode_to_numpy(" ".join([*words, ""]), disallowed_special=()).view(np.int32)
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable bytes stand for themselves, the others follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 @functools.cache
@@ -105,11 +67,11 @@ def _encode(path: str, end: int):
     def run(batches):
         from pyspark import TaskContext
 
-        shard, before, words = TaskContext.get().partitionId(), 0, encoder(path)
+        shard, before, ids_of = TaskContext.get().partitionId(), 0, encoder(path).encode
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
-                ids = [np.append(x, np.int32(end)) for x in words.encode(some.column("text").to_pylist())]
+                ids = [np.append(ids_of(t), np.int32(end)) for t in some.column("text").to_pylist()]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 ends = np.cumsum(sizes)
                 values = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate(ids)))
