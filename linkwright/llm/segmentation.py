@@ -14,6 +14,7 @@ has the same samples in any batch.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 
@@ -27,8 +28,8 @@ from .words import U64, mix
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 STATES_HELD = 2_000_000
+SEARCHED = 500
 SPACE = "▁"
-_CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NONE = -np.inf
@@ -47,7 +48,10 @@ class Model:
         from sentencepiece import SentencePieceProcessor
 
         self.processor = sp = SentencePieceProcessor(model_file=path)
+        # No piece goes on after a space mark, a line end or, with this set of marks, from a letter to a mark: chunks end there.
         pieces = {sp.id_to_piece(i): i for i in range(len(sp)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+        marks = re.escape("".join(m for m in ".,;:!?|" if not any(a.isalpha() and b == m for p in pieces for a, b in zip(p, p[1:], strict=False))))
+        self.chunks = re.compile((f"{SPACE}*[^\\W\\d_]+(?=[{marks}])|[{marks}][^{SPACE}\n]*|" if marks else "") + f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.weight = -np.log1p(np.array([max(0.0, -sp.get_score(i)) for i in range(len(sp))]))
         self.unknown = float(self.weight.min()) - 1
@@ -58,7 +62,7 @@ class Model:
             hashes = (points * np.array([pow(_BASE, j, 1 << 64) for j in range(n)], U64)).sum(axis=1, dtype=U64)
             order = np.argsort(hashes)
             seen = np.zeros(1 << 20, bool)  # by the hashes' upper bits: most substrings are no pieces
-            seen[mix(hashes) >> U64(44)] = True
+            seen[hashes * U64(_BASE) >> U64(44)] = True
             self.tables[n] = hashes[order], np.array([pieces[p] for p in of])[order], seen
         raw = [b""] * len(sp)
         for p, i in pieces.items():
@@ -107,7 +111,7 @@ class Lattices:
         for length, (hashes, of, seen) in model.tables.items():
             at = at[room[at] >= length]
             got = (sums[at + length] - sums[at]) * inverse[at]
-            likely = seen[mix(got) >> U64(44)]
+            likely = seen[got * U64(_BASE) >> U64(44)]
             some, got = at[likely], got[likely]
             i = np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)
             hit = hashes[i] == got
@@ -130,7 +134,7 @@ class Lattices:
         option = np.searchsorted(source, np.arange(n + 1))
         # Backward sums, all states with the same distance to their chunk's end at once.
         backward = np.zeros(n + 1)
-        by = np.argsort(room, kind="stable")
+        by = np.argsort(room.astype(np.uint16) if n and room.max() < 1 << 16 else room, kind="stable")
         value = np.empty(len(source))
         for group in np.split(by, np.flatnonzero(np.diff(room[by])) + 1):
             counts = option[group + 1] - option[group]
@@ -179,11 +183,10 @@ def truncated_gumbel(loc: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.nda
 class Search:
     """The samples of all texts of a batch. A decision is an option taken in a state; a round has a path for each text that has one."""
 
-    def __init__(self, tables: dict[str, np.ndarray], slots: list[np.ndarray], keys: np.ndarray):
-        self.t, self.texts = tables, len(slots)
-        self.counts = np.array([len(s) for s in slots])
+    def __init__(self, tables: dict[str, np.ndarray], counts: np.ndarray, states: np.ndarray, keys: np.ndarray):
+        """counts: chunks of each text; states: the first state of each chunk, text by text."""
+        self.t, self.texts, self.counts, self.state = tables, len(counts), counts, states
         self.begin = np.cumsum(self.counts) - self.counts
-        self.state = np.concatenate([*slots, np.empty(0, np.int64)]).astype(np.int64)
         self.seeds = mix(keys.astype(np.int64).view(U64) + U64(0x5851F42D4C957F2D))
         self.rounds: list[dict[str, np.ndarray]] = []
 
@@ -326,16 +329,24 @@ def sample(held: Lattices, texts: list[str | None], keys: list[int], samples: in
     """
     if held.n_states > STATES_HELD:
         held.clear()
-    chunks = [_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    if new := list(dict.fromkeys(c for of in chunks for c in of if c not in held.first)):
-        held.learn(new)
+    chunks = [held.model.chunks(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    if new := set().union(*chunks).difference(held.first):
+        held.learn(list(new))
     first, tables = held.first, held.arrays()
     if not tables:
         for i in range(len(texts)):
             yield i, 0, np.empty(0, np.int64), 0.0, 0.0, 0.0
         return
-    search = Search(tables, [np.fromiter(map(first.__getitem__, c), np.int64, len(c)) for c in chunks], np.array(keys, np.int64))
-    beyond = search.run(samples)
+    for a in range(0, len(texts), SEARCHED):
+        some = chunks[a : a + SEARCHED]
+        counts = np.array([len(c) for c in some], np.int64)
+        states = np.fromiter(map(first.__getitem__, itertools.chain.from_iterable(some)), np.int64, int(counts.sum()))
+        for i, *found in _samples(Search(tables, counts, states, np.array(keys[a : a + SEARCHED], np.int64)), samples):
+            yield a + i, *found
+
+
+def _samples(search: Search, samples: int):
+    tables, beyond = search.t, search.run(samples)
     for rank, r in enumerate(search.rounds):
         sizes = tables["id_count"][r["option"]]
         ids = tables["ids"][ranges(tables["id_start"][r["option"]], sizes)]
@@ -355,9 +366,8 @@ def _sampled(path: str, samples: int):
     def run(batches):
         held = lattices(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
-                ids, texts = some.column("doc_id").to_pylist(), some.column("text").to_pylist()
+            if batch.num_rows:
+                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 rows = []
                 for i, rank, found, logp, perturbed, inclusion in sample(held, texts, [x or 0 for x in ids], samples):
                     text = (texts[i] or "").replace(SPACE, " ")
