@@ -27,8 +27,8 @@ from .words import U64, mix
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
-STATES_HELD = 2_000_000
-SEARCHED = 500
+#: States kept from batch to batch; chunks whose lattices are built, and texts that are searched, at a time.
+STATES_HELD, LEARNED, SEARCHED = 1_500_000, 10_000, 250
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -51,7 +51,7 @@ class Model:
         # No piece goes on after a space mark, a line end or, with this set of marks, from a letter to a mark: chunks end there.
         pieces = {sp.id_to_piece(i): i for i in range(len(sp)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         marks = re.escape("".join(m for m in ".,;:!?|" if not any(a.isalpha() and b == m for p in pieces for a, b in zip(p, p[1:], strict=False))))
-        self.chunks = re.compile((f"{SPACE}*[^\\W\\d_]+(?=[{marks}])|[{marks}][^{SPACE}\n]*|" if marks else "") + f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
+        self.chunks = re.compile((f"{SPACE}*[^\\W\\d_]+(?=[{marks}{SPACE}\n]|\\Z)|[{marks}][^{SPACE}\n]*|" if marks else "") + f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.weight = -np.log1p(np.array([max(0.0, -sp.get_score(i)) for i in range(len(sp))]))
         self.unknown = float(self.weight.min()) - 1
@@ -331,7 +331,9 @@ def sample(held: Lattices, texts: list[str | None], keys: list[int], samples: in
         held.clear()
     chunks = [held.model.chunks(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     if new := set().union(*chunks).difference(held.first):
-        held.learn(list(new))
+        new = list(new)
+        for cut in itertools.batched(new, LEARNED):
+            held.learn(list(cut))
     first, tables = held.first, held.arrays()
     if not tables:
         for i in range(len(texts)):
@@ -366,8 +368,9 @@ def _sampled(path: str, samples: int):
     def run(batches):
         held = lattices(path)
         for batch in batches:
-            if batch.num_rows:
-                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for a in range(0, batch.num_rows, 1000):
+                some = batch.slice(a, 1000)
+                ids, texts = some.column("doc_id").to_pylist(), some.column("text").to_pylist()
                 rows = []
                 for i, rank, found, logp, perturbed, inclusion in sample(held, texts, [x or 0 for x in ids], samples):
                     text = (texts[i] or "").replace(SPACE, " ")
