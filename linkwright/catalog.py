@@ -1,6 +1,343 @@
-"""Registered queries over the driver's tables, with equivalent DuckDB SQL."""
+"""Registered queries over the driver's tables, with equivalent DuckDB SQL.
+
+Business records are derived from documents: the first six cleaned words are the name, the next eight the address, lang is the
+country, and doc_id mod 3 the source. Distinct (order, part) edges of lineitem stand for scored pairs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .catalog_sql import ORACLE_SQL  # noqa: F401
+from .functions import text as T
+from .functions.keys import VIEWS, view
+from .functions.similarity import similarity
+from .operators import blocking as B
+from .operators import decision as D
+from .operators import metrics as M
+from .operators import models
+from .operators.features import match_records
+from .plans.tables import written
+from .sources.records import id_lists
+
+NAME_PASS = B.Pass("name", {"name_word": 1.0, "name_pair": 1.0}, 5, 0.05, 100)
+ADDR_PASS = B.Pass("addr", {"addr_word": 1.0, "addr_bigram": 1.0}, 5, 0.05, 100)
+MIX_PASS = B.Pass("name_addr", {"name_addr": 1.0, "name_pair": 0.5, "addr_bigram": 0.5}, 5, 0.05, 100)
+RESCORE = {"name_word": 2.0, "addr_word": 3.0}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, country, src, name, address, doc_id)."""
+    w = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("country"), T.words(T.clean_text("text")).alias("w"))
+    src = (F.col("doc_id") % 3 + 1).cast("int")
+    return w.select(F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"), "country", src.alias("src"), F.array_join(F.slice("w", 1, 6), " ").alias("name"), F.array_join(F.slice("w", 7, 8), " ").alias("address"), "doc_id")
+
+
+def truth(spark: SparkSession, sf: str) -> DataFrame:
+    """(q, t): records of equal text in source 1 and in another."""
+    d = table(spark, sf, "documents").select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("h"))
+    name = lambda n: F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias(n)
+    return d.where("doc_id % 3 = 0").select("h", name("q")).join(d.where("doc_id % 3 <> 0").select("h", name("t")), "h").select("q", "t")
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """(q, t, src, score, name_sim, p)."""
+    e = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("t")).agg(F.max("l_extendedprice").alias("score"))
+    p = F.when((F.col("q") * 31 + F.col("t") * 17) % 40 == 0, 0.5 + (F.col("q") + F.col("t")) % 50 / 100.0).otherwise((F.col("q") * 7 + F.col("t")) % 100 / 10000.0)
+    return e.select("q", "t", (F.col("t") % 2).cast("int").alias("src"), "score", ((F.col("q") + F.col("t")) % 100 / 100.0).alias("name_sim"), p.alias("p"))
+
+
+def weighted_sides(recs: DataFrame, views: list[str]):
+    tokens = B.with_tokens(recs)
+    queries, targets = tokens.where("src = 1"), tokens.where("src <> 1")
+    asked, held = B.search_parts(queries, targets)
+    keys = B.record_keys(targets, views)
+    df, sizes = B.document_frequency(keys, held)
+    return B.weighted(B.record_keys(queries, views), asked, df, sizes), B.weighted(keys, held, df, sizes), df, sizes
+
+
+def shared_sides(recs: DataFrame, views: list[str]):
+    """Both weighted sides as written tables, since retrieval and rescoring read them several times."""
+    q, t, _, _ = weighted_sides(written(recs), views)
+    return written(q), written(t)
+
+
+def _retrieved(recs: DataFrame, p: B.Pass) -> DataFrame:
+    q, t, _, _ = weighted_sides(recs, list(p.weights))
+    return B.retrieve(q, t, p).withColumn("score", F.round("score", 6))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return _retrieved(records(spark, sf), NAME_PASS)
+
+
+def _clean_text(s, sf):
+    return table(s, sf, "documents").select("doc_id", T.clean_text("text").alias("clean"))
+
+
+def _suffix(s, sf):
+    form = F.element_at(F.array(*map(F.lit, ["inc", "pvt ltd", "", "co ltd", "sarl"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    r = records(s, sf).select("doc_id", F.trim(F.concat_ws(" ", "name", form)).alias("clean_name"))
+    return r.select("doc_id", "clean_name", T.core_name("clean_name").alias("core_name"), T.legal_suffix("clean_name").alias("legal_suffix"))
+
+
+def _postal(s, sf):
+    country = F.element_at(F.array(*map(F.lit, ["india", "us", "france", "peru"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    r = table(s, sf, "documents").select("doc_id", country.alias("country"), F.concat(F.lit("12 Main Rd, Town "), (10000 + F.col("doc_id") * 137).cast("string"), F.lit("-1234")).alias("a"))
+    return r.select("doc_id", "country", T.postal_code("a", "country").alias("postal_code"))
+
+
+def _numbers(s, sf):
+    return table(s, sf, "documents").select("doc_id", F.array_join(F.array_sort(T.numeric_tokens(T.clean_text("text"))), ",").alias("numbers"))
+
+
+def _expanded(s, sf):
+    r = records(s, sf).select("id", F.when(F.col("country") == "fr", "france").otherwise("us").alias("country"), F.concat_ws(" ", F.lit("12 st r av"), "address").alias("a"))
+    return r.select("id", F.array_join(T.expand_address(T.words("a"), "country"), " ").alias("expanded"))
+
+
+def _states(s, sf):
+    state = F.element_at(F.array(*map(F.lit, ["new york", "north carolina", "ohio", "in", "west virginia"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return records(s, sf).select("id", T.us_region_codes(F.concat_ws(" ", "name", state)).alias("coded"))
+
+
+def _name_words(s, sf):
+    return records(s, sf).select("id", F.explode(T.words("name")).alias("word"))
+
+
+def _phonetic(s, sf):
+    return _name_words(s, sf).select("word").distinct().select("word", T.phonetic_key("word").alias("sound"))
+
+
+def _leet(s, sf):
+    leet = lambda c: F.translate(c, "oe", "03")
+    return _name_words(s, sf).select(leet("word").alias("word")).distinct().select("word", T.fix_leet("word").alias("fixed"))
+
+
+def _name_tokens(s, sf):
+    return records(s, sf).select("id", F.array_join(T.name_tokens(F.concat_ws(" ", "name", F.lit("ltd 2024"))), " ").alias("tokens"))
+
+
+def _address_tokens(s, sf):
+    a = F.concat_ws(" ", F.lit("h number 007 127a"), F.col("doc_id").cast("string"), "address")
+    return records(s, sf).select("id", F.array_join(T.address_tokens(a), " ").alias("tokens"))
+
+
+def _indic(s, sf):
+    from .functions.tables import INDIC_CONSONANTS
+
+    # Words of Devanagari letters, one for each customer.
+    at = lambda k: F.element_at(F.array(*(F.lit(chr(0x0900 + o)) for o in INDIC_CONSONANTS)), (F.col("c_custkey") * k % len(INDIC_CONSONANTS) + 1).cast("int"))
+    word = F.concat(at(1), F.lit("ा"), at(7), F.lit("ं"), at(11), F.lit("्"), at(13))
+    return table(s, sf, "customer").select("c_custkey", T.transliterate(word).alias("latin"))
+
+
+def _india(s, sf):
+    names = ["maharashtr", "karnatak", "tamil nadu", "dilli", "or"]
+    state = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return records(s, sf).select("id", T.india_region_codes(F.concat_ws(" ", "address", state)).alias("coded"))
+
+
+def _view(name):
+    def query(s, sf):
+        tokens = records(s, sf).select("id", F.split("name", " ").alias("nt"), F.split(F.concat_ws(" ", F.col("doc_id").cast("string"), "address"), " ").alias("at"))
+        return tokens.select("id", F.explode(view(name)).alias("key"))
+
+    return query
+
+
+def _idf(s, sf):
+    _, _, df, sizes = weighted_sides(records(s, sf), ["name_word"])
+    return df.join(F.broadcast(sizes), ["part", "src"]).select("part", "src", "key", "df", F.round(B.idf("n", "df"), 6).alias("idf"))
+
+
+def _norms(s, sf):
+    return weighted_sides(records(s, sf), ["name_word", "addr_word"])[0].select("id", "src", "view", "key", F.round("w", 6).alias("w"))
+
+
+def _stats(s, sf):
+    return B.posting_stats(weighted_sides(records(s, sf), ["name_word", "name_pair"])[1], NAME_PASS)
+
+
+def _pass(p):
+    return lambda s, sf: _retrieved(records(s, sf), p)
+
+
+def _fallback(s, sf):
+    r = records(s, sf)
+    return _retrieved(r.where("not (country = 'es' and src = 2)"), NAME_PASS)
+
+
+def _union(s, sf):
+    q, t = shared_sides(records(s, sf), ["name_word", "name_pair", "addr_word", "addr_bigram"])
+    u = B.union_passes({p.name: B.retrieve(q, t, p) for p in (NAME_PASS, ADDR_PASS)})
+    return u.select("q", "t", "src", F.round("score_name", 6).alias("score_name"), F.round("score_addr", 6).alias("score_addr"), "best_rank")
+
+
+def _budget(s, sf):
+    q, t = shared_sides(records(s, sf), ["name_word", "name_pair", "addr_word", "addr_bigram"])
+    u = B.union_passes({p.name: B.retrieve(q, t, p) for p in (NAME_PASS, ADDR_PASS)})
+    scored = B.pair_cosines(u, q, t, list(RESCORE)).withColumn("candidate_score", F.round(B.candidate_score(RESCORE, F.lit(False)), 6))
+    best = B.top_k(scored, 3, 0.0, score="candidate_score")
+    return best.select("q", "t", "src", F.round("sim_name_word", 6).alias("sim_name_word"), F.round("sim_addr_word", 6).alias("sim_addr_word"), "candidate_score", F.col("rank").alias("source_rank"))
+
+
+def _candidates(s, sf):
+    c = B.candidates(written(records(s, sf)))
+    return c.select("q", "t", "src", F.round("candidate_score", 6).alias("candidate_score"), "source_rank")
+
+
+def _dense(s, sf):
+    e = table(s, sf, "embeddings").select("vec_id", F.col("label").alias("part"), F.col("embedding").alias("v"))
+    q, t = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("q"), "part", "v"), e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("t"), F.lit(2).alias("src"), "part", "v")
+    return B.dense_top_k(q, t, 5, 0.0).select("q", "t", F.round("score", 6).alias("score"), "rank")
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _context(s, sf):
+    return _rounded(D.context_features(edges(s, sf).drop("p")), "q_margin", "qs_margin", "t_margin", "q_rel_score")
+
+
+def _prob_context(s, sf):
+    return _rounded(D.probability_context(edges(s, sf).select("q", "t", "p")), "pq_margin", "pt_margin", "logit", "pq_sum", "pt_sum")
+
+
+def _owner(s, sf):
+    return edges(s, sf).select("q", "t", F.round(D.owner_normalized(), 6).alias("p_used"))
+
+
+def _threshold(s, sf):
+    return edges(s, sf).where("p >= 0.5").select("q", "t", "p")
+
+
+def _expected(s, sf):
+    return D.select_expected_f(edges(s, sf)).select("q", "t", "selected")
+
+
+def _rule(s, sf):
+    return D.apply_rule(edges(s, sf)).where("selected").select("q", "t", F.round("p_used", 6).alias("p_used"))
+
+
+def _structure(s, sf):
+    r = match_records(records(s, sf))
+    side = lambda x: r.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("names", "nums", "first", "house")))
+    both = truth(s, sf).join(side("q"), "q").join(side("t"), "t")
+    inter = F.size(F.array_intersect("q_names", "t_names"))
+    return both.select("q", "t", inter.alias("name_inter"), F.round(inter / (F.size("q_names") + F.size("t_names") - inter), 6).alias("name_jaccard"), (F.col("q_first") == F.col("t_first")).alias("first_eq"))
+
+
+def _pairs_of_names(s, sf):
+    c, p = table(s, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("a"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("x")), table(s, sf, "supplier").select(F.col("s_suppkey").alias("b"), F.concat_ws(" ", "s_name", F.lit("machinery")).alias("y"))
+    return c.join(p, F.col("a") % 50 == F.col("b") % 50)
+
+
+def _metric(name):
+    return lambda s, sf: _pairs_of_names(s, sf).select("a", "b", F.round(similarity(name, F.col("x"), F.col("y")), 6).alias("sim"))
+
+
+def _jaro(s, sf):
+    return _pairs_of_names(s, sf).select("a", "b", F.round(similarity("jw", F.col("x"), F.col("y")), 6).alias("sim"))
+
+
+def _selected(s, sf):
+    e = edges(s, sf)
+    return e.select("q").distinct(), e.where("p >= 0.5"), e.where("p >= 0.7 or (q % 11 = 0 and src = 1)"), e
+
+
+def _macro(s, sf):
+    queries, predicted, true, _ = _selected(s, sf)
+    out = M.evaluate(queries, predicted, true)
+    return out.select("n_queries", *(F.round(c, 6).alias(c) for c in out.columns if c != "n_queries"))
+
+
+def _per_query(s, sf):
+    queries, predicted, true, _ = _selected(s, sf)
+    return M.per_query(queries, predicted, true).withColumn("f05", F.round("f05", 6))
+
+
+def _sweep(s, sf):
+    queries, _, true, scored = _selected(s, sf)
+    return M.threshold_sweep(queries, scored, true).withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+def _recall(s, sf):
+    ranked = B.top_k(edges(s, sf), 1 << 30, 0.0).withColumn("label", F.col("p") >= 0.5).withColumnRenamed("rank", "source_rank")
+    out = M.recall_at_budgets(ranked, 1000, [1, 2, 3])
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+def _report(s, sf):
+    queries, _, true, scored = _selected(s, sf)
+    pairs = B.top_k(scored, 2, 0.0).withColumnRenamed("rank", "source_rank")
+    out = M.candidate_report(queries, pairs, true, 1000)
+    return out.select("n_queries", "n_pairs", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("n_queries", "n_pairs")))
+
+
+def _lists(s, sf):
+    e = edges(s, sf)
+    return id_lists(e.select("q").distinct(), e.where("p >= 0.5").select("q", F.col("t").cast("string").alias("t"), "p"), "p")
+
+
+def _violations(s, sf):
+    r = records(s, sf)
+    t = truth(s, sf)
+    lists = t.groupBy("q").agg(F.collect_list("t").alias("ids")).withColumnRenamed("q", "id")
+    bad = lists.limit(0).union(r.where("doc_id % 30 = 0").select("id", F.array("id", F.lit("S2-x"), F.lit("S2-x"), F.lit("Q9")).alias("ids")))
+    return M.violations(lists.union(bad), r.where("src = 1 and doc_id % 2 = 0").select("id"), r.where("src <> 1").select("id"))
+
+
+def _split(s, sf):
+    from .sources.records import validation_split
+
+    r = records(s, sf)
+    q, t = validation_split(r.where("src = 1").select(F.col("id").alias("q")), truth(s, sf), r.where("src <> 1").select(F.col("id").alias("t")), 40, 60)
+    return q.select(F.lit("query").alias("kind"), F.col("q").alias("id")).union(t.select(F.lit("target"), "t"))
+
+
+def _roles(s, sf):
+    return models.sample_roles(edges(s, sf).select("q").distinct(), 200)
+
+
+def _model_pairs(s, sf):
+    x = table(s, sf, "documents").join(table(s, sf, "labels"), "doc_id")
+    return x.select(F.col("doc_id").alias("q"), (F.col("doc_id") % 97).alias("t"), (F.col("quality") == 1).alias("label"), F.length("text").alias("n"), (F.length(F.regexp_replace("text", "[^#$%&|]", "")) / F.length("text")).alias("marks"))
+
+
+def _scores(s, sf):
+    return models.out_of_fold(_model_pairs(s, sf), ["n", "marks"], trees=5, depth=3).select("q", "t", F.round("p", 6).alias("p"))
+
+
+def _isotonic(s, sf):
+    scored = _model_pairs(s, sf).withColumn("p", 1 - F.least(F.col("marks") * 5, F.lit(1.0)))
+    return models.calibrator(scored)(scored).select("q", F.round("calibrated", 6).alias("calibrated"))
+
+
+def _stacked(s, sf):
+    scored = _model_pairs(s, sf).withColumn("p", 1 - F.least(F.col("marks") * 5, F.lit(1.0))).select("q", "t", "label", "p")
+    return models.stacked(scored, trees=3).select("q", "t", F.round("p2", 6).alias("p2"))
+
+
+def _weights(s, sf):
+    q, t = shared_sides(records(s, sf), ["name_word", "name_pair", "addr_word", "addr_bigram"])
+    u = B.pair_cosines(B.union_passes({p.name: B.retrieve(q, t, p) for p in (NAME_PASS, ADDR_PASS)}), q, t, list(RESCORE))
+    pairs = u.join(truth(s, sf).withColumn("label", F.lit(True)), ["q", "t"], "left").fillna(False, ["label"]).withColumn("missing_address", F.lit(False))
+    found = models.rescore_weights(written(pairs), list(RESCORE))
+    return s.createDataFrame(list(found.items()), "view string, weight double")
+
+
+QUERIES = {
+    "clean_text": _clean_text, "business_name_suffix": _suffix, "postal_code": _postal, "numeric_tokens": _numbers, "address_expand": _expanded, "region_codes_us": _states, "region_codes_india": _india, "transliterate": _indic, "phonetic_keys": _phonetic, "fix_leet": _leet, "name_tokens": _name_tokens, "address_tokens": _address_tokens,
+    **{f"view_{v}": _view(v) for v in VIEWS},
+    "doc_freq_idf": _idf, "tfidf_norms": _norms, "posting_stats": _stats, "retrieve_name": flagship, "retrieve_addr": _pass(ADDR_PASS), "retrieve_name_addr": _pass(MIX_PASS), "retrieve_fallback_country": _fallback, "union_passes": _union, "candidate_budget": _budget, "blocking_default": _candidates, "dense_topk": _dense,
+    "context_features": _context, "prob_context_features": _prob_context, "owner_normalize": _owner, "select_threshold": _threshold, "select_expected_f": _expected, "apply_rule": _rule,
+    "jaccard_tokens": _structure, "jaro_winkler": _jaro, **{f"similarity_{m}": _metric(m) for m in ("ratio", "token_sort", "token_set", "partial")},
+    "macro_f05": _macro, "per_query_f05": _per_query, "threshold_sweep": _sweep, "recall_at_budgets": _recall, "candidate_report": _report, "matching_results": _lists, "validator_violations": _violations, "val_split": _split, "sample_roles": _roles, "gbt_scores": _scores, "isotonic": _isotonic, "stack": _stacked, "rescore_weights": _weights,
+}

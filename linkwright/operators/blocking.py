@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import view
 from ..functions.text import address_tokens, name_tokens
+from ..plans.tables import written
 
 EVERYWHERE = "*"
 
@@ -50,7 +51,11 @@ def with_tokens(records: DataFrame) -> DataFrame:
 
 def record_keys(tokens: DataFrame, views: list[str]) -> DataFrame:
     """(id, country, src, view, key): one pass over the records, whatever the number of views."""
-    both = [F.transform(view(v), lambda k, v=v: F.struct(F.lit(v).alias("view"), k.alias("key"))) for v in views]
+
+    def named(v: str) -> Column:
+        return F.transform(view(v), lambda key: F.struct(F.lit(v).alias("view"), key.alias("key")))
+
+    both = [named(v) for v in views]
     return tokens.select("id", "country", "src", F.explode(F.flatten(F.array(*both))).alias("x")).select("id", "country", "src", "x.view", "x.key")
 
 
@@ -86,7 +91,8 @@ def weighted(keys: DataFrame, parts: DataFrame, df: DataFrame, sizes: DataFrame)
 
 def top_k(scored: DataFrame, k: int, min_score: float, group=("q", "src"), score: str = "score") -> DataFrame:
     """The k best of each group with rank from 0; ties by t."""
-    best = Window.partitionBy(*group).orderBy(F.desc(score), "t")
+    # Rounded, so that the order in which a shuffle sums can't change ranks.
+    best = Window.partitionBy(*group).orderBy(F.desc(F.round(score, 9)), "t")
     ranked = scored.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
     return ranked.where(F.col(score) >= min_score)
 
@@ -133,20 +139,20 @@ def candidate_score(weights: dict[str, float], missing_address: Column) -> Colum
     return F.when(missing_address, total(names) * (sum(weights.values()) / sum(names.values()))).otherwise(total(weights))
 
 
-def candidates(records: DataFrame, config: Config = Config(), checkpoint=None) -> DataFrame:
+def candidates(records: DataFrame, config: Config = Config()) -> DataFrame:
     """(q, t, src, score_<pass>, best_rank, sim_<view>, missing_address, candidate_score, source_rank): the whole of blocking.
 
-    checkpoint, a function from DataFrame to DataFrame, may write the weighted keys, which both retrieval and rescoring read.
+    Tokens and weighted keys, which retrieval and rescoring read many times, are written as tables.
     """
-    tokens = with_tokens(records)
+    tokens = written(with_tokens(records))
     queries, targets = tokens.where("src = 1"), tokens.where("src <> 1")
     asked, held = search_parts(queries, targets)
     target_keys = record_keys(targets, config.views)
     df, sizes = document_frequency(target_keys, held)
-    keep = checkpoint or (lambda x: x.persist())
-    q = keep(weighted(record_keys(queries, config.views), asked, df, sizes))
-    t = keep(weighted(target_keys, held, df, sizes))
-    union = union_passes({p.name: retrieve(q, t, p) for p in config.passes})
+    df = written(df)
+    q = written(weighted(record_keys(queries, config.views), asked, df, sizes))
+    t = written(weighted(target_keys, held, df, sizes))
+    union = written(union_passes({p.name: retrieve(q, t, p) for p in config.passes}))
     bare = tokens.select("id", (F.size("at") == 0).alias("bare"))
     scored = pair_cosines(union, q, t, list(config.rescore))
     scored = scored.join(bare.toDF("q", "q_bare"), "q").join(bare.toDF("t", "t_bare"), "t").withColumn("missing_address", F.col("q_bare") | F.col("t_bare"))
