@@ -82,8 +82,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat doc_id and text, one."""
     kept = exact_duplicates(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).toDF("kept_id", "kept_text", "times")
     kept = written(kept, "kept")
-    sha = F.sha2(F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "utf-8"), 256)
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_text")), "left_semi")
+    sha = F.sha2(F.encode(ascii_lower(F.coalesce(docs["text"], F.lit(""))), "utf-8"), 256)
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (sha == kept["kept_text"]), "left_semi")
     if kept.where("times > 1").isEmpty():
         return rows
-    return rows.withColumn("kept_text", sha).dropDuplicates(["doc_id", "kept_text"]).drop("kept_text")
+    name = "same_text" + "_" * max(map(len, docs.columns))  # no column of docs has it
+    return rows.withColumn(name, sha).dropDuplicates(["doc_id", name]).drop(name)
