@@ -28,7 +28,7 @@ from .words import U64, mix
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 #: States kept from batch to batch; chunks whose lattices are built, and texts that are searched, at a time.
-STATES_HELD, LEARNED, SEARCHED = 1_500_000, 10_000, 250
+STATES_HELD, LEARNED, SEARCHED = 2_000_000, 3_000, 100
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -170,13 +170,13 @@ class Lattices:
 def uniform(seeds: np.ndarray, turn: int, slot: np.ndarray, step: int) -> np.ndarray:
     """Hashes in (0, 1) of row seed, round, chunk and step."""
     at = (U64(turn + 1) << U64(52)) + (slot.astype(U64) << U64(16)) + U64(step)
-    return ((mix(seeds ^ mix(at)) >> U64(12)).astype(float) + 0.5) * 2.0**-52
+    return ((mix(seeds ^ at * U64(0xD1342543DE82EF95)) >> U64(12)).astype(float) + 0.5) * 2.0**-52
 
 
 def truncated_gumbel(loc: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables with location loc, given that they are below most; -inf where there is no mass."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        out = loc - np.logaddexp(loc - most, np.log(-np.log(u)))
+        out = loc - np.log(np.exp(np.minimum(loc - most, 700.0)) - np.log(u))
     return np.where(np.isfinite(loc), out, _NONE)
 
 
