@@ -28,7 +28,9 @@ RESCORE = {"name_word": 2.0, "addr_word": 3.0}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; texts that lie in fewer partitions than there are cores, as in one small file, are spread over all."""
+    df, cores = spark.read.parquet(f"{sf}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +55,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weighted_sides(recs: DataFrame, views: list[str]):
-    tokens = B.with_tokens(recs)
+    tokens = written(B.with_tokens(recs))  # six branches read it
     queries, targets = tokens.where("src = 1"), tokens.where("src <> 1")
     asked, held = B.search_parts(queries, targets)
     keys = B.record_keys(targets, views)
@@ -63,7 +65,7 @@ def weighted_sides(recs: DataFrame, views: list[str]):
 
 def shared_sides(recs: DataFrame, views: list[str]):
     """Both weighted sides as written tables, since retrieval and rescoring read them several times."""
-    q, t, _, _ = weighted_sides(written(recs), views)
+    q, t, _, _ = weighted_sides(recs, views)
     return written(q), written(t)
 
 
