@@ -67,7 +67,9 @@ def _clean() -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; texts that lie in fewer partitions than there are cores, as in one small file, are spread over all."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 #: The 26 letters that contracts lower-case, and nothing else.
