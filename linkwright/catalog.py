@@ -41,10 +41,11 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
-    """(q, t): records of equal text in source 1 and in another."""
+    """(q, t): a record of source 1 and, of each other source, the first record of equal text. Copies are never expanded into pairs."""
     d = table(spark, sf, "documents").select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("h"))
     name = lambda n: F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias(n)
-    return d.where("doc_id % 3 = 0").select("h", name("q")).join(d.where("doc_id % 3 <> 0").select("h", name("t")), "h").select("q", "t")
+    first = d.where("doc_id % 3 <> 0").groupBy("h", F.col("doc_id") % 3).agg(F.min("doc_id").alias("doc_id"))
+    return d.where("doc_id % 3 = 0").select("h", name("q")).join(first.select("h", name("t")), "h").select("q", "t")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,8 +196,9 @@ def _candidates(s, sf):
 
 
 def _dense(s, sf):
+    # The stated query set: every vector whose id is divisible by 100, against all.
     e = table(s, sf, "embeddings").select("vec_id", F.col("label").alias("part"), F.col("embedding").alias("v"))
-    q, t = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("q"), "part", "v"), e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("t"), F.lit(2).alias("src"), "part", "v")
+    q, t = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "part", "v"), e.select(F.col("vec_id").alias("t"), F.lit(2).alias("src"), "part", "v")
     return B.dense_top_k(q, t, 5, 0.0).select("q", "t", F.round("score", 6).alias("score"), "rank")
 
 
@@ -237,8 +239,10 @@ def _structure(s, sf):
 
 
 def _pairs_of_names(s, sf):
-    c, p = table(s, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("a"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("x")), table(s, sf, "supplier").select(F.col("s_suppkey").alias("b"), F.concat_ws(" ", "s_name", F.lit("machinery")).alias("y"))
-    return c.join(p, F.col("a") % 50 == F.col("b") % 50)
+    """(a, x, b, y): every customer with each supplier that it has bought from."""
+    bought = table(s, sf, "orders").join(table(s, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    c, p = table(s, sf, "customer").select(F.col("c_custkey").alias("a"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("x")), table(s, sf, "supplier").select(F.col("s_suppkey").alias("b"), F.concat_ws(" ", "s_name", F.lit("machinery")).alias("y"))
+    return bought.join(c, "a").join(p, "b")
 
 
 def _metric(name):

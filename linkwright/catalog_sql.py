@@ -55,7 +55,7 @@ REC = f"""rec AS (
     SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS id, lang AS country, doc_id % 3 + 1 AS src, array_to_string(w[1:6], ' ') AS name, array_to_string(w[7:14], ' ') AS address, doc_id
     FROM (SELECT doc_id, lang, {_words('c')} AS w FROM (SELECT doc_id, lang, {_clean('text')} AS c FROM documents))
 )"""
-TRUTH = "truth AS (SELECT a.id AS q, b.id AS t FROM (SELECT 'S1-' || doc_id AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 = 0) a JOIN (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 <> 0) b USING (h))"
+TRUTH = "truth AS (SELECT a.id AS q, b.id AS t FROM (SELECT 'S1-' || doc_id AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 = 0) a JOIN (SELECT 'S' || (min(doc_id) % 3 + 1) || '-' || min(doc_id) AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 <> 0 GROUP BY doc_id % 3, h) b USING (h))"
 EDGES = """e AS (
     SELECT q, t, t % 2 AS src, score, ((q + t) % 100) / 100e0 AS name_sim,
            CASE WHEN (q * 31 + t * 17) % 40 = 0 THEN 0.5e0 + ((q + t) % 50) / 100e0 ELSE ((q * 7 + t) % 100) / 10000e0 END AS p
@@ -184,7 +184,7 @@ ORACLE_SQL = {
     "candidate_budget": f"""WITH {_UNION}, sims AS (SELECT u.q, u.t, u.src, sum(CASE WHEN a.view = 'name_word' THEN a.w * b.w ELSE 0e0 END) AS sn, sum(CASE WHEN a.view = 'addr_word' THEN a.w * b.w ELSE 0e0 END) AS sa FROM u LEFT JOIN qw a ON a.id = u.q AND a.src = u.src AND a.view IN ('name_word', 'addr_word') LEFT JOIN tw b ON b.id = u.t AND b.part = a.part AND b.view = a.view AND b.key = a.key GROUP BY ALL),
         f AS (SELECT q, t, src, coalesce(sn, 0e0) AS sn, coalesce(sa, 0e0) AS sa, round(2e0 * coalesce(sn, 0e0) + 3e0 * coalesce(sa, 0e0), 6) AS candidate_score FROM sims), g AS (SELECT *, row_number() OVER (PARTITION BY q, src ORDER BY candidate_score DESC, t) - 1 AS source_rank FROM f)
         SELECT q, t, src, round(sn, 6) AS sim_name_word, round(sa, 6) AS sim_addr_word, candidate_score, source_rank FROM g WHERE source_rank < 3""",
-    "dense_topk": "WITH s AS (SELECT a.vec_id AS q, b.vec_id AS t, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, t) - 1 AS rank FROM s) SELECT q, t, round(score, 6) AS score, rank FROM r WHERE rank < 5 AND score >= 0",
+    "dense_topk": "WITH s AS (SELECT a.vec_id AS q, b.vec_id AS t, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, t) - 1 AS rank FROM s) SELECT q, t, round(score, 6) AS score, rank FROM r WHERE rank < 5 AND score >= 0",
     "context_features": f"""WITH {EDGES}, m AS (SELECT q, t, src, score, name_sim, row_number() OVER w_q - 1 AS q_rank, count(*) OVER g_q AS q_size, {_MARGIN.format(s='score', n='q')} AS q_margin, {_MARGIN.format(s='score', n='qs')} AS qs_margin, row_number() OVER w_t - 1 AS t_rank, count(*) OVER g_t AS t_competitors, {_MARGIN.format(s='score', n='t')} AS t_margin, score / CASE WHEN first_value(score) OVER a_q > 0 THEN first_value(score) OVER a_q ELSE 1e0 END AS rel FROM e {_windows('score', q=('q', 't'), qs=('q, src', 't'), t=('t', 'q'))})
         SELECT q, t, src, score, name_sim, q_rank, q_size, round(q_margin, 6) AS q_margin, round(qs_margin, 6) AS qs_margin, t_rank, t_competitors, round(t_margin, 6) AS t_margin, round(rel, 6) AS q_rel_score, count(*) FILTER (rel >= 0.9) OVER (PARTITION BY q) AS q_n_strong, count(*) FILTER (name_sim >= 0.9) OVER (PARTITION BY q) AS q_n_name_dupes, count(*) FILTER (name_sim >= 0.9) OVER (PARTITION BY t) AS t_n_name_dupes FROM m""",
     "prob_context_features": f"""WITH {EDGES} SELECT q, t, p, row_number() OVER w_q - 1 AS pq_rank, count(*) OVER g_q AS pq_size, round({_MARGIN.format(s='p', n='q')}, 6) AS pq_margin, row_number() OVER w_t - 1 AS pt_rank, count(*) OVER g_t AS pt_size, round({_MARGIN.format(s='p', n='t')}, 6) AS pt_margin,
@@ -194,7 +194,7 @@ ORACLE_SQL = {
     "select_expected_f": f"WITH {EDGES}, base AS (SELECT q, t, p AS pu FROM e), {_EXPECTED} SELECT q, t, selected FROM s",
     "apply_rule": f"WITH {EDGES}, base AS (SELECT q, t, p / greatest(1e0, sum(p) OVER (PARTITION BY t)) AS pu FROM e), {_EXPECTED} SELECT q, t, round(pu, 6) AS p_used FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY pu DESC, q) AS first FROM s WHERE selected) WHERE first = 1",
     "jaccard_tokens": f"WITH {REC}, {TRUTH}, r AS (SELECT id, list_distinct({_name_tokens('name')}) AS names, ({_name_tokens('name')})[1] AS first FROM rec) SELECT q, t, len(list_intersect(a.names, b.names)) AS name_inter, round(len(list_intersect(a.names, b.names)) / (len(a.names) + len(b.names) - len(list_intersect(a.names, b.names))), 6) AS name_jaccard, a.first = b.first AS first_eq FROM truth JOIN r a ON a.id = q JOIN r b ON b.id = t",
-    "jaro_winkler": "SELECT c_custkey AS a, s_suppkey AS b, round(jaro_winkler_similarity(c_name || ' ' || c_mktsegment, s_name || ' machinery'), 6) AS sim FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 WHERE c_custkey % 10 = 0",
+    "jaro_winkler": "SELECT c_custkey AS a, s_suppkey AS b, round(jaro_winkler_similarity(c_name || ' ' || c_mktsegment, s_name || ' machinery'), 6) AS sim FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey",
     "macro_f05": f"WITH {_PER} SELECT count(*) AS n_queries, round(avg(f05), 6) AS macro_f05, round(sum(n_hit) / sum(n_pred), 6) AS precision, round(sum(n_hit) / sum(n_true), 6) AS recall, round(avg((n_true = 0)::INT), 6) AS singleton_share, round(avg(CASE WHEN n_true = 0 THEN (n_pred = 0)::INT END), 6) AS singleton_accuracy, round(avg((n_pred = 0)::INT), 6) AS empty_share, round(avg(n_pred), 6) AS mean_predictions FROM per",
     "per_query_f05": f"WITH {_PER} SELECT q, n_pred, n_true, n_hit, round(f05, 6) AS f05 FROM per",
     "threshold_sweep": f"WITH {_PER}, cuts AS (SELECT round(i * 0.02e0 + 0.3e0, 2) AS threshold FROM range(31) r(i)), n AS (SELECT threshold, q, count(*) AS n_pred, count(u.t) AS n_hit FROM cuts JOIN e ON p >= threshold LEFT JOIN tru u USING (q, t) GROUP BY ALL), every AS (SELECT cuts.threshold, c.q, c.n_true, coalesce(n.n_pred, 0) AS n_pred, coalesce(n.n_hit, 0) AS n_hit FROM c CROSS JOIN cuts LEFT JOIN n ON n.threshold = cuts.threshold AND n.q = c.q) SELECT threshold, round(avg({_F}), 6) AS macro_f05 FROM every GROUP BY threshold",

@@ -161,10 +161,11 @@ def candidates(records: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def dense_top_k(queries: DataFrame, targets: DataFrame, k: int = 10, min_score: float = 0.5) -> DataFrame:
-    """(q, t, src, score, rank) by exact cosine within a part. queries(q, part, v), targets(t, src, part, v); part bounds the comparisons."""
+    """(q, t, src, score, rank) by exact cosine within a part. queries(q, part, v), targets(t, src, part, v); part bounds the comparisons.
+    A record that is on both sides isn't its own match."""
     unit = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     dot = F.aggregate(F.zip_with("v", "u", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     left = queries.withColumn("vn", unit("v"))
     right = targets.withColumnRenamed("v", "u").withColumn("un", unit("u"))
-    scored = left.join(right, "part").select("q", "t", "src", (dot / (F.col("vn") * F.col("un"))).alias("score"))
+    scored = left.join(right, "part").where("q <> t").select("q", "t", "src", (dot / (F.col("vn") * F.col("un"))).alias("score"))
     return top_k(scored, k, min_score)
