@@ -79,22 +79,30 @@ class Model:
         return found.removeprefix(b" ").decode("utf-8", "replace")
 
 
+class Numbers(dict):
+    """Chunks, numbered as they come."""
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        return number
+
+
 class Lattices:
-    """States and options of all chunks seen. No piece spans the start of a run of spaces or a line end, so chunks are independent."""
+    """States and options of all chunks seen, and the first state of each by its number. No piece spans the start of a run of spaces or a line end, so chunks are independent."""
 
-    FIELDS = {"next": np.int32, "logp": float, "cum": float, "id_start": np.int32, "id_count": np.int32, "option": np.int32, "ids": np.int32}
+    FIELDS = {"first": np.int32, "next": np.int32, "logp": float, "cum": float, "id_start": np.int32, "id_count": np.int32, "option": np.int32, "ids": np.int32}
 
     def __init__(self, model: Model):
         self.model = model
         self.clear()
 
     def clear(self) -> None:
-        self.first: dict[str, int] = {}
+        self.numbers = Numbers()
         self.n_states = self.n_options = self.n_ids = 0
         self.parts: dict[str, list[np.ndarray]] = {k: [] for k in self.FIELDS}
 
     def learn(self, chunks: list[str]) -> None:
-        """Adds the lattices of new chunks, all at once."""
+        """Adds the lattices of the chunks that were numbered next, all at once."""
         model, text = self.model, "".join(chunks)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
         sizes = np.array([len(c) for c in chunks])
@@ -152,12 +160,11 @@ class Lattices:
         cum = np.minimum(cum, 1.0)
         cum[option[1:] - 1] = 1.0
         parts = {
-            "next": np.where(target == end[source], -1, target + self.n_states), "logp": np.minimum(logp, 0.0), "cum": cum,
+            "first": stops - sizes + self.n_states, "next": np.where(target == end[source], -1, target + self.n_states), "logp": np.minimum(logp, 0.0), "cum": cum,
             "id_start": id_start + self.n_ids, "id_count": id_count, "option": option[:-1] + self.n_options, "ids": pool,
         }
         for k, v in parts.items():
             self.parts[k].append(v.astype(self.FIELDS[k]))
-        self.first |= dict(zip(chunks, (stops - sizes + self.n_states).tolist(), strict=True))
         self.n_states, self.n_options, self.n_ids = self.n_states + n, self.n_options + len(source), self.n_ids + len(pool)
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -220,9 +227,10 @@ class Search:
         total = np.concatenate([[0.0], np.cumsum(logp)])
         before = total[:-1] - np.repeat(total[begin], sizes)
         place = np.arange(len(option)) - np.repeat(begin, sizes)
+        taken = np.exp(logp) + gone
         with np.errstate(divide="ignore"):
-            rest = np.log1p(-np.minimum(np.exp(logp) + gone, 1.0))
-        rest = np.where(np.exp(logp) + gone > 1 - 1e-12, _NONE, rest)
+            rest = np.log1p(-np.minimum(taken, 1.0))
+        rest[taken > 1 - 1e-12] = _NONE
         rest[place < np.repeat(least, sizes)] = _NONE
         u = uniform(np.repeat(self.seeds[text], sizes), turn, place, 65_000)
         bound = truncated_gumbel(before + rest, np.repeat(best, sizes), u)
@@ -330,20 +338,21 @@ def sample(held: Lattices, texts: list[str | None], keys: list[int], samples: in
     if held.n_states > STATES_HELD:
         held.clear()
     chunks = [held.model.chunks(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    if new := set().union(*chunks).difference(held.first):
-        new = list(new)
-        for cut in itertools.batched(new, LEARNED):
-            held.learn(list(cut))
-    first, tables = held.first, held.arrays()
+    counts = np.array([len(c) for c in chunks], np.int64)
+    known = len(held.numbers)
+    numbers = np.fromiter(map(held.numbers.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(counts.sum()))
+    for new in itertools.batched(itertools.islice(held.numbers, known, None), LEARNED):
+        held.learn(list(new))
+    tables = held.arrays()
     if not tables:
         for i in range(len(texts)):
             yield i, 0, np.empty(0, np.int64), 0.0, 0.0, 0.0
         return
+    states, ends = tables["first"].astype(np.int64)[numbers], np.concatenate([[0], np.cumsum(counts)])
     for a in range(0, len(texts), SEARCHED):
-        some = chunks[a : a + SEARCHED]
-        counts = np.array([len(c) for c in some], np.int64)
-        states = np.fromiter(map(first.__getitem__, itertools.chain.from_iterable(some)), np.int64, int(counts.sum()))
-        for i, *found in _samples(Search(tables, counts, states, np.array(keys[a : a + SEARCHED], np.int64)), samples):
+        b = min(a + SEARCHED, len(texts))
+        search = Search(tables, counts[a:b], states[ends[a] : ends[b]], np.array(keys[a:b], np.int64))
+        for i, *found in _samples(search, samples):
             yield a + i, *found
 
 
