@@ -3,13 +3,15 @@
 Base patterns give certain spans. High-recall generators propose further, overlapping spans: written-out addresses, loosely
 grouped numbers, colon-separated addresses. Boosted trees over format and context features score them, and those whose
 calibrated score reaches the threshold of their kind are redacted too. Labels are weak and need no annotation: a
-candidate is positive if it is a span of the base patterns. What base patterns check (Luhn sums, parts up to 255) is never a
-feature, so the trees judge by format and surroundings.
+candidate is positive if it is a span of the base patterns, or if it overlaps none and its canonical form passes the check of
+its kind (`personal`). What is checked beyond format (Luhn sums, parts up to 255) is never a feature, so the trees judge by
+format and surroundings.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import numpy as np
@@ -96,6 +98,54 @@ def candidates(text: str | None) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+_AT, _DOT = re.compile(r" ?[\[({]at[\])}] ?| at "), re.compile(r" ?[\[({]dot[\])}] ?| dot ")
+
+
+def canonical(span: str, kind: str) -> str:
+    """A written-out or loosely grouped span in the form that base patterns know: '@' and '.' in e-mails, digits alone in cards and
+    phones, '+' for a phone's leading 00."""
+    if kind == "email":
+        return _DOT.sub(".", _AT.sub("@", span, count=1))
+    if kind == "ip":
+        return span
+    digits = _NOT_DIGIT.sub("", span)
+    abroad = kind == "phone" and (span.startswith(("+", "00")))
+    return "+" + digits.removeprefix("00") if abroad else digits
+
+
+def well_formed(text: str, span: Span) -> bool:
+    """Whether the canonical form has the format of its kind; sums and sizes of parts aren't looked at. ' at ' between words
+    needs a written-out dot, a phone without '+' or 00 needs a cue word."""
+    start, end, kind = span
+    s, near = text[start:end], _near(text, span)
+    form, cued = canonical(s, kind), any(w in near for w in CUES[kind])
+    if kind == "email":
+        plain = " at " not in s or _DOT.search(s) is not None
+        return _emails(form) == [(0, len(form), "email")] and form[-2:].isalpha() and plain
+    if kind == "ip":
+        return form.count(".") == 3 or form.count(":") == 7
+    if kind == "card":
+        return 12 <= len(form) <= 19
+    return 9 <= len(form.removeprefix("+")) <= 15 and (form[0] == "+" or cued)
+
+
+def personal(text: str, span: Span) -> bool:
+    """The weak label of a span outside base spans: well formed, and its canonical form passes the check of its kind."""
+    if not well_formed(text, span):
+        return False
+    form = canonical(text[span[0] : span[1]], span[2])
+    if span[2] == "ip":
+        try:
+            ipaddress.ip_address(form)
+        except ValueError:
+            return False
+    return span[2] != "card" or luhn(form)
+
+
+def _near(text: str, span: Span) -> str:
+    return text[max(0, span[0] - 24) : span[0]].lower() + " " + text[span[1] : span[1] + 24].lower()
+
+
 def _class(c: str) -> int:
     return 0 if not c else 1 if c.isspace() else 2 if c.isdigit() else 3 if c.isalpha() else 4 if c in "\"'`()[]<>" else 5
 
@@ -103,7 +153,7 @@ def _class(c: str) -> int:
 def features(text: str, span: Span) -> list[float]:
     """Format and context of a span, as numbers."""
     start, end, kind = span
-    s, near = text[start:end], text[max(0, start - 24) : start].lower() + " " + text[end : end + 24].lower()
+    s, near = text[start:end], _near(text, span)
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
     marks = [c for c in s if not c.isalnum()]
     digits = sum(groups)
@@ -111,7 +161,7 @@ def features(text: str, span: Span) -> list[float]:
         *(float(kind == k) for k in KINDS), len(s), digits, sum(c.isalpha() for c in s), len(groups), max(groups), min(groups), groups[0], groups[-1],
         len(marks), len(set(marks)), s.startswith("+"), "(" in s, "@" in s, s.count("."), s.count(" "), s.count("-"), s.count(":"),
         float(s[0]) if s[0].isdigit() else -1.0, _class(text[start - 1 : start]), _class(text[end : end + 1]),
-        sum(c.isdigit() for c in near) / len(near), sum(c.isalpha() for c in near) / len(near), any(w in near for w in CUES[kind]), "=" in near[20:26],
+        sum(c.isdigit() for c in near) / len(near), sum(c.isalpha() for c in near) / len(near), any(w in near for w in CUES[kind]), "=" in near[20:26], well_formed(text, span),
     ]
 
 
@@ -143,8 +193,12 @@ def _sampled(batches):
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            base = set(base_spans(text))
-            rows += [(doc_id, c[0], c[2], [float(x) for x in features(text, c)], c in base) for c in candidates(text)]
+            base = base_spans(text)
+            known = set(base)
+            for c in candidates(text):
+                # What overlaps a base span without being one is never scored, so nothing is learned from it.
+                if c in known or not any(c[0] < e and s < c[1] for s, e, _ in base):
+                    rows.append((doc_id, c[0], c[2], [float(x) for x in features(text, c)], c in known or personal(text, c)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.bool_()), strict=True)], ["doc_id", "start", "kind", "features", "positive"])
 
 
@@ -161,9 +215,11 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_CANDIDATE
     for kind in KINDS:
         of = held & (got["kind"] == kind).to_numpy()
         if of.sum() >= 20:
-            knots, share = isotonic(trees.predict(x[of]), y[of])
+            scores = trees.predict(x[of])
+            knots, share = isotonic(scores, y[of])
             if (share >= certain).any():
-                least[kind] = float(np.nextafter(knots[np.argmax(share >= certain) - 1], 1) if np.argmax(share >= certain) else 0.0)
+                # Nothing is known of scores below all calibrated ones.
+                least[kind] = float(np.nextafter(knots[np.argmax(share >= certain) - 1], 1) if np.argmax(share >= certain) else scores.min())
     return Selector(trees, least)
 
 

@@ -237,6 +237,28 @@ def test_selected_spans_are_added_by_the_trees():
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_learned_trees_select_forms_outside_base_patterns(spark):
+    rng = np.random.default_rng(5)
+    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+
+    def card(mark):
+        digits = n(15)
+        digits += next(d for d in "0123456789" if pii.luhn(digits + d))
+        return mark.join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    def text(i):
+        user, host = "".join(rng.choice(list("abcdefgh"), 5)), "".join(rng.choice(list("klmnop"), 6))
+        usual = [f"mail {user}@{host}.org soon", f"host {n(2)}.{n(2)}.{n(2)}.{n(2)} is up", f"pay by card {card(' ')} today", f"tel +1 555 {n(3)} {n(4)} or later", f"look at {host}.com for order {n(3)}-{n(3)}-{n(4)}", f"at {n(2)}:{n(2)}:{n(2)}:{n(2)}:{n(2)} it began"]
+        rare = [f"mail {user} (at) {host} dot org soon", f"host fe80:{n(4)}:{n(4)}:{n(3)}:{n(2)}:{n(4)}:{n(4)}:{n(4)} is up", f"pay by card {card('.')} today", f"tel 212-{n(3)}-{n(4)} or later"]
+        return (rare[i // 12 % 4] if i % 12 == 0 else usual[i % 6]).replace("fe80:0", "fe80:1")
+
+    learned = pii.learn(spark.createDataFrame([(i, text(i)) for i in range(2400)], "doc_id long, text string"))
+    for kind, form, line in (("email", "jo (at) mail dot org", "write: mail {} soon"), ("ip", "fe80:12:3:4:5:6:7:8", "host {} is up"), ("card", card("."), "pay by card {} today"), ("phone", "212-555-0187", "tel {} or later")):
+        base, spans = learned.spans([line.format(form)])[0]
+        assert base == [] and [(k, line.format(form)[a:b]) for a, b, k in spans] == [(kind, form)]
+    assert learned.spans(["look at example.com for order 123-456-7890", "at 10:20:30:40:50 it began"]) == [([], []), ([], [])]
+
+
 def test_substring_dedup(docs, rows):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
