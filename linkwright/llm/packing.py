@@ -132,7 +132,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, branches: i
     return best
 
 
-PIECES = "shard int, doc_id long, piece int, start long, length long, ids_crc32 long, place long"
+PIECES = "shard int, doc_id long, piece int, start long, length long, ids_crc32 long, place long, ids array<int>"
 
 
 def _pieces(path: str, capacity: int, end: int):
@@ -140,16 +140,21 @@ def _pieces(path: str, capacity: int, end: int):
         from pyspark import TaskContext
 
         shard, seen, ids_of = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path).encode
-        for batch in batches:
-            rows = []
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+            rows, kept = [], [np.empty(0, "<u4")]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(ids_of(text), np.uint32(end)).astype("<u4")
+                kept.append(ids)
                 first = (len(ids) - 1) % capacity + 1
                 for piece, stop in enumerate(range(first, len(ids) + 1, capacity)):
                     start = max(0, stop - capacity) if piece else 0
                     rows.append((shard, doc_id, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), int(seen[stop - start])))
                     seen[stop - start] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, (pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["shard", "doc_id", "piece", "start", "length", "ids_crc32", "place"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, (pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)]
+            # Pieces follow each other as their ids do.
+            ends = np.cumsum([0, *(r[4] for r in rows)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "piece", "start", "length", "ids_crc32", "place", "ids"])
 
     return run
 
@@ -179,14 +184,15 @@ def _placed(table: np.ndarray):
                 first, each, sequence, offset = table[np.searchsorted(table[:, 0], key, side="right") - 1].T
                 within = key - first
                 columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence + within // each), pa.array(offset + within % each * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence + within // each), pa.array(offset + within % each * length), batch.column("ids")], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """docs(doc_id, text, ...) -> a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """docs(doc_id, text, ...) -> a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids.
 
+    ids are the piece's token ids: in order of offset, those of one sequence_id are the training sequence.
     A null text is empty and has the end id only. Texts of more than `capacity` ids are cut from the end, so that only the first
     piece may be shorter. Rows that repeat a doc_id are packed each. A sequence is filled without gaps from offset 0. Other columns
     are ignored; an empty table gives an empty result. tokenizer: path of the vocabulary on the workers.
@@ -200,4 +206,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     bases = written(counts.select("shard", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "bases")
     forget(counts)
     ranked = pieces.join(bases, ["shard", "length"]).withColumn("place", F.col("place") + F.col("base"))
-    return ranked.mapInArrow(_placed(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(_placed(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>")

@@ -33,7 +33,7 @@ def op5_exact_duplicates(spark, sf_dir):
 
 
 def op6_segmentations(spark, sf_dir):
-    return segmentation.sampled_segmentations(documents(spark, sf_dir), vocabulary(segmentation.VOCABULARY))
+    return segmentation.sampled_segmentations(documents(spark, sf_dir), vocabulary(segmentation.VOCABULARY)).drop("ids")
 
 
 def op7_quality(spark, sf_dir):
@@ -49,7 +49,7 @@ def op9_language(spark, sf_dir):
 
 
 def op10_packing(spark, sf_dir):
-    return packing.pack(documents(spark, sf_dir), vocabulary(packing.VOCABULARY))
+    return packing.pack(documents(spark, sf_dir), vocabulary(packing.VOCABULARY)).drop("ids")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_token_ids, op4_toxicity, op5_exact_duplicates, op6_segmentations, op7_quality, op8_substring_dedup, op9_language, op10_packing)}

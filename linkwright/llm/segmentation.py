@@ -370,7 +370,7 @@ def _samples(search: Search, samples: int):
             yield i, rank, ids[ends[a] : ends[b]], float(r["logp"][j]), float(r["best"][j]), float(inclusion[j])
 
 
-RESULT = "doc_id long, rank int, n_ids long, log_p double, perturbed double, log_inclusion double, ids_crc32 long, decoded boolean"
+RESULT = "doc_id long, rank int, n_ids long, log_p double, perturbed double, log_inclusion double, ids_crc32 long, decoded boolean, ids array<int>"
 
 
 def _sampled(path: str, samples: int):
@@ -383,15 +383,15 @@ def _sampled(path: str, samples: int):
                 rows = []
                 for i, rank, found, logp, perturbed, inclusion in sample(held, texts, [x or 0 for x in ids], samples):
                     text = (texts[i] or "").replace(SPACE, " ")
-                    rows.append((ids[i], rank, len(found), logp, perturbed, inclusion, zlib.crc32(found.astype("<u4").tobytes()), held.model.decode(found) == text))
-                types = (pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, types, strict=True)], [f.split()[0] for f in RESULT.split(", ")])
+                    rows.append((ids[i], rank, len(found), logp, perturbed, inclusion, zlib.crc32(found.astype("<u4").tobytes()), held.model.decode(found) == text, found.astype(np.int32)))
+                types = (pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.bool_(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 9, types, strict=True)], [f.split()[0] for f in RESULT.split(", ")])
 
     return run
 
 
 def sampled_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES) -> DataFrame:
-    """docs(doc_id, text, ...) -> a row per document and sample: doc_id, rank, n_ids, log_p, perturbed, log_inclusion, ids_crc32, decoded.
+    """docs(doc_id, text, ...) -> a row per document and sample: doc_id, rank, n_ids, log_p, perturbed, log_inclusion, ids_crc32, decoded, ids.
 
     Segmentations of one document are distinct; it has fewer rows than samples only if its text has fewer segmentations. A null or
     empty text has one, without ids. decoded tells whether the ids decode to the text, with the space mark as a space. Rows that

@@ -179,6 +179,19 @@ def test_packing(docs, rows):
     assert len(bins) <= -(-total // 1024) + 2
 
 
+def test_packed_sequences_hold_their_ids(docs, rows):
+    encoder, sequences, texts = packing.encoder(vocabulary(packing.VOCABULARY)), defaultdict(list), defaultdict(list)
+    for r in packing.pack(docs, vocabulary(packing.VOCABULARY)).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        sequences[r.sequence_id].append((r.offset, r.ids))
+        texts[r.doc_id].append((r.start, r.ids))
+    assert all(len([x for _, ids in sorted(s) for x in ids]) <= 1024 for s in sequences.values())
+    once = {i for i, n in Counter(i for i, _ in rows).items() if n == 1}
+    for i, text in rows:
+        if i in once:
+            assert [x for _, ids in sorted(texts[i]) for x in ids] == [*encoder.encode(text).tolist(), 2]
+
+
 def least_bins(items, capacity):
     best = len(items)
 
@@ -404,6 +417,15 @@ def test_segmentations_of_hard_rows(docs, rows):
     assert by[10_000, 0] == 1 and by[10_000, 1] == 0 and by[10_003, 1] == 1 and by[10_012, 0] == 2
 
 
+def test_segmentations_hold_their_ids(docs):
+    model = segmentation.lattices(vocabulary(segmentation.VOCABULARY)).model
+    some = docs.where("doc_id < 40 or doc_id = 10012")
+    texts = {r.doc_id: r.text for r in some.collect()}
+    got = segmentation.sampled_segmentations(some, vocabulary(segmentation.VOCABULARY)).collect()
+    assert len(got) > len(texts) and all(len(r.ids) == r.n_ids and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    assert all(model.decode(np.array(r.ids)) == texts[r.doc_id] for r in got if "\u2581" not in texts[r.doc_id])
+
+
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES))
 def test_empty_tables(spark, empty, tmp_path, name):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
