@@ -68,12 +68,13 @@ def write_pairs(df: DataFrame, path: str) -> None:
     df.withColumns({c: F.col(c).cast("float") for c in floats}).write.partitionBy("country").parquet(path, compression="zstd")
 
 
-def validation_split(queries: DataFrame, truth: DataFrame, targets: DataFrame, n_queries: int, n_distractors: int, singleton_share: float = 0.056, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(queries, targets) of a small copy: that share of singletons, the rest matched, all their true targets and some others of each source."""
+def validation_split(queries: DataFrame, truth: DataFrame, targets: DataFrame, n_queries: int, n_distractors: int, singleton_share: float = 0.056, seed: int = 42, on: str = "t") -> tuple[DataFrame, DataFrame]:
+    """(queries, targets) of a small copy: that share of singletons, the rest matched, all their true targets and some others of each source.
+    truth(q, on) and targets(t, on) meet by `on`: the target itself, or a class that true pairs share."""
     order = lambda c: (F.xxhash64(c, F.lit(seed)), c)
     matched = queries.join(truth, "q", "left_semi").orderBy(*order("q")).limit(round(n_queries * (1 - singleton_share)))
     single = queries.join(truth, "q", "left_anti").orderBy(*order("q")).limit(round(n_queries * singleton_share))
     picked = matched.unionByName(single)
-    true = targets.join(truth.join(picked, "q", "left_semi"), "t", "left_semi")
+    true = targets.join(truth.join(picked, "q", "left_semi"), on, "left_semi")
     other = targets.join(true, "t", "left_anti").orderBy(*order("t")).limit(n_distractors)
-    return picked, true.unionByName(other)
+    return picked, true.unionByName(other).select("t")
