@@ -345,10 +345,11 @@ def _stacked(s, sf):
 
 
 def _weights(s, sf):
-    q, t = shared_sides(records(s, sf), ["name_word", "name_pair", "addr_word", "addr_bigram"])
-    u = B.pair_cosines(B.union_passes({p.name: B.retrieve(q, t, p) for p in (NAME_PASS, ADDR_PASS)}), q, t, list(RESCORE))
+    config = B.Config()
+    q, t = shared_sides(records(s, sf), config.views)
+    u = B.pair_cosines(B.union_passes({p.name: B.retrieve(q, t, p) for p in config.passes}), q, t, list(config.rescore))
     pairs = labelled(u, text_classes(s, sf)).withColumn("missing_address", F.lit(False))
-    found = models.rescore_weights(written(pairs), list(RESCORE))
+    found = models.rescore_weights(written(pairs), list(config.rescore))
     return s.createDataFrame(list(found.items()), "view string, weight double")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linkwright import catalog
 from linkwright.operators import decision as D
 from linkwright.operators import metrics as M
-from linkwright.operators.blocking import candidates, top_k, union_passes
+from linkwright.operators.blocking import Config, candidates, top_k, union_passes
 from linkwright.operators.features import FEATURES, match_records, pair_features
 from linkwright.plans.matching import blocking_records, matches
 from linkwright.plans.tables import written
@@ -153,3 +153,8 @@ def test_all_copies_count_as_true(spark, tmp_path):
     assert {(r.q, r.t): r.label for r in catalog.labelled(pairs, classes).collect()} == {("S1-0", "S2-1"): True, ("S1-0", "S2-28"): True, ("S1-3", "S3-29"): True, ("S1-0", "S2-31"): False}
     got = {r.id for r in catalog.QUERIES["val_split"](spark, str(tmp_path)).where("kind = 'target'").collect()}
     assert {f"S{i % 3 + 1}-{i}" for i in range(30) if i % 3} <= got and len(got) == 80
+
+
+def test_rescoring_weights_are_of_the_default_passes(spark):
+    got = catalog.QUERIES["rescore_weights"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.view for r in got} == set(Config().rescore)
