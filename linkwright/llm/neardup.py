@@ -3,13 +3,14 @@
 A document's signature holds SYMBOLS minimum hashes of b = 32 bits. It is split into CHUNKS chunks of WIDTH symbols, and each
 chunk is filed under every choice of WIDTH - ERRORS of its symbols, which enumerates the allowed errors in the chunk. By the
 pigeonhole principle two signatures that differ in at most RADIUS = CHUNKS * (ERRORS + 1) - 1 symbols share such a key. At a
-similarity of exactly 0.75 a pair differs in 16 of 64 symbols on average (sd 3.5), RADIUS is 31.
+similarity of exactly 0.75 a pair differs in 20 of 80 symbols on average (sd 3.9), RADIUS is 31.
 
 Pairs within a key are never all emitted. First every document is compared with one leader of each of its keys, the document
 that shares keys most often (the middle of a family of near copies); links are confirmed on full shingle sets and joined into
-components. Then only documents that are still outside their leader's component are compared with the key's others, as far as
-these are of another component and within RADIUS. So no link between components is lost, at any size of a key, without
-a cap.
+components. Then only keys whose other documents still lie in different components are open. In open keys of up to CROWD
+documents, pairs of different components whose sizes allow a link are compared. Larger open keys are dealt into blocks, and
+each pair of blocks is a bounded unit of work that counts all its intersections as one matrix product; it returns no pairs
+but a forest of the links it found. So no link between components is lost, at any size of a key, without a cap.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from .graph import components
 from .runtime import forget, tune, written
 from .words import U64, mix, shingle_set
 
-CHUNKS, WIDTH, ERRORS = 16, 4, 1
+CHUNKS, WIDTH, ERRORS = 16, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 _KEPT = [list(c) for c in itertools.combinations(range(WIDTH), WIDTH - ERRORS)]
 _XOR = mix(np.arange(1, SYMBOLS + 1, dtype=U64))
 _MUL = mix(np.arange(1001, SYMBOLS + 1001, dtype=U64)) | U64(1)
+#: Documents of an open key whose pairs are compared one by one; documents and shingles of a block of a larger one; columns of a product.
+CROWD, BLOCK, BLOCK_SHINGLES, COLUMNS = 64, 256, 1 << 20, 4096
 SKETCH = "doc_id long, n_shingles long, set_id binary, signature array<int>"
 
 
@@ -92,6 +95,96 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("shared") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
+def alike(a, b, percent: int):
+    """Whether sets of these sizes can be linked at all."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+UNIT = "key long, i int, j int, block int, doc long, component long, size long, shingles array<long>"
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of `left` with all of `right`, as products of 0-1 matrices of at most COLUMNS
+    shingles each. Shingles of a single set are left out first."""
+    sets = [*left, *right]
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    common = times[column] > 1
+    column, owner = number[column[common]], owner[common]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - a] = 1
+        total += part[: len(left)] @ part[len(left) :].T
+    return total
+
+
+def _forest(percent: int):
+    """The links of a unit, as far as they join components that no earlier link of the unit has joined."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+        doc, component, size, block = (unit.column(c).to_numpy() for c in ("doc", "component", "size", "block"))
+        order = np.argsort(doc, kind="stable")
+        sides = [order[block[order] == x] for x in (i, j)]
+        shingles = unit.column("shingles").combine_chunks()
+        values, ends = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+        left, right = ([values[ends[r] : ends[r + 1]] for r in side] for side in sides)
+        pairs = []
+        if left and right:
+            shared = intersections(left, right)
+            union = size[sides[0]][:, None] + size[sides[1]][None, :] - shared
+            linked = (shared * 100 >= union * percent) & (component[sides[0]][:, None] != component[sides[1]][None, :])
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            for x, y in zip(*np.nonzero(linked), strict=True):
+                a, b = sides[0][x], sides[1][y]
+                ca, cb = root(int(component[a])), root(int(component[b]))
+                if ca != cb:
+                    parent[ca] = cb
+                    pairs.append((int(doc[a]), int(doc[b])))
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def links_of_open_keys(open_: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """open_(key, doc, component, size), marks(doc, signature), sets(doc, shingles) -> (a, b): links between documents of
+    one key and different components, as many as connect what the key connects."""
+    sizes = open_.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = written(open_.join(sizes.select("key", "n", blocks.alias("blocks")), "key"), "sized")
+    few = sized.where(F.col("n") <= CROWD)
+    side = lambda x: few.select("key", F.col("doc").alias(x), F.col("component").alias(f"c{x}"), F.col("size").alias(f"s{x}"))
+    pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
+    pairs = written(near(pairs, marks), "pairs")
+    many = sized.where(F.col("n") > CROWD).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "size")
+    units = units.join(sets, "doc").select(*(c.split()[0] for c in UNIT.split(", ")))
+    crowds = units.groupBy("key", "i", "j").applyInArrow(_forest(percent), "a long, b long")
+    links = written(confirmed(pairs, sets, percent).union(crowds), "links")
+    for table in (sized, pairs):
+        forget(table)
+    return links
+
+
+def near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The (a, b) whose signatures differ in at most RADIUS symbols."""
+    side = lambda x: marks.select(F.col("doc").alias(x), F.col("signature").alias(f"m{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(differing("ma", "mb") <= RADIUS).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept).
 
@@ -99,38 +192,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     or blank one has an empty set and no link. component_id is the smallest doc_id reachable over links of at least percent
     similarity, kept says that it is the document's own. Equal sets form one class first, so copies are never paired.
     Rows that share a doc_id count as one document with several texts. A row without doc_id links with nothing, has a null
-    component_id and is kept. Other columns of docs are ignored; an empty table gives an empty result.
+    component_id and is kept. Ties, of leaders or classes, go to the smallest doc_id and don't show in the result. Texts of
+    any length are one set. Other columns of docs are ignored; an empty table gives an empty result.
     """
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sketches = written(docs.mapInArrow(_sketches, SKETCH), "sketches")
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = written(usable.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature")), "classes")
+    classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    classes = written(classes, "classes")
     filed = classes.select("doc", "signature").mapInArrow(_keys, "doc long, keys array<long>").select("doc", F.explode("keys").alias("key"))
     crowded = written(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
     shared = written(filed.join(crowded, "key"), "shared")
     weight = written(shared.groupBy("doc").agg(F.sum("n").alias("weight")), "weight")
-    leaders = written(shared.join(weight, "doc").groupBy("key").agg(F.max(F.struct("weight", -F.col("doc"), "doc")).getField("doc").alias("leader")), "leaders")
+    leaders = shared.join(weight, "doc").groupBy("key").agg(F.max(F.struct("weight", -F.col("doc"), "doc")).getField("doc").alias("leader"))
+    # With its leader, which holds for every key; whatever is left to compare lies in keys of three documents or more.
+    others = written(shared.join(leaders, "key").where("leader <> doc"), "others")
     marks = classes.select("doc", "signature")
-    first = shared.join(leaders, "key").where("leader <> doc").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    first = first.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").where(differing("ma", "mb") <= RADIUS).select("a", "b")
-    first = written(first, "pairs")
+    sizes = classes.select("doc", "size")
+    first = others.select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    first = first.join(sizes.select(F.col("doc").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("size").alias("sb")), "b")
+    first = written(near(first.where(alike(F.col("sa"), F.col("sb"), percent)).select("a", "b"), marks), "pairs")
     sets = written(docs.join(weight.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, shingles array<long>"), "sets")
     links = written(confirmed(first, sets, percent), "links")
     found = written(components(links), "found")
-    # Documents outside their leader's component, against all others of the key.
-    member = shared.select("key", "doc").join(marks, "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    member = written(member, "member")
-    heads = member.select("key", "doc", "component").join(leaders.toDF("key", "doc"), ["key", "doc"]).select("key", F.col("component").alias("head"))
-    rest = written(member.join(heads, "key").where("component <> head").toDF("key", "a", "ma", "ca", "head"), "rest")
-    ahead = (F.col("cb") == F.col("head")) | (F.col("a") < F.col("b"))
-    more = rest.join(member.toDF("key", "b", "mb", "cb"), "key").where((F.col("ca") != F.col("cb")) & ahead & (differing("ma", "mb") <= RADIUS)).select("a", "b").distinct()
-    more = confirmed(written(more, "pairs"), sets, percent)
-    merged = found.toDF("a", "b").union(more)
-    found = components(merged)
-    of_class = written(classes.select("set_id", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_id", F.coalesce("component", "doc").alias("component_id")), "of_class")
-    for table in (crowded, shared, weight, leaders, first, sets, links, member, rest):
+    known = sizes.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
+    member = written(others.where("n > 2").select("key", "doc").join(known, "doc").select("key", "doc", "component", "size"), "member")
+    spread = member.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    open_ = written(member.join(spread, "key"), "open")
+    more = links_of_open_keys(open_, marks, sets, percent)
+    found = components(written(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "merged"))
+    of_class = classes.select("set_id", "doc").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    of_class = written(of_class.select("set_id", F.coalesce("component", "doc").alias("component_id")), "of_class")
+    for table in (crowded, shared, weight, others, first, sets, links, member, open_):
         forget(table)
-    named = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
-    result = named.join(of_class, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # Rows without a class go past the join: as one null key they would be one task.
+    filed = sketches.where("n_shingles > 0 and doc_id is not null").join(of_class, "set_id").select("doc_id", "n_shingles", "component_id")
+    alone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return filed.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

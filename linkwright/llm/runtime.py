@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -15,19 +16,23 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set, as in tests."""
+    """The folder that driver and executors share. In local mode without one, as in tests, a folder of this machine is made; on
+    a cluster that raises ValueError, as executors would write where nobody else reads."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="linkwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows, frees shuffle files when a statement ends (results are held in written tables), and lets
+    """Bounds Arrow batches by rows and bytes (one long text may be more), frees shuffle files when a statement ends (results are held in written tables), and lets
     Python workers on this machine import the package; a cluster has it installed."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

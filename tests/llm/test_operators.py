@@ -120,6 +120,48 @@ def test_near_duplicates_of_a_family(spark):
     assert got == want and len(set(want.values())) == 61
 
 
+def brute_components(made):
+    sets = {i: shingles(t) for i, t in made}
+    ids = sorted(sets)
+    return components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+
+
+def crowd(rng, n, own, start, template):
+    """n documents of the template's words and `own` words of their own each: all similarities are the same."""
+    return [(start + i, " ".join([*template, *(f"own{start + i}_{j}" for j in range(own))])) for i in range(n)]
+
+
+def test_near_duplicates_hidden_in_a_crowd(spark):
+    """Linked documents whose keys are led by strangers: a crowd just below the threshold shares all keys with them."""
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(200)]
+    made = crowd(rng, 300, 36, 0, template)
+    made += [(1000 + i, " ".join([*template, *(f"pair_{j}" for j in range(36 - i % 3)), *(f"end{i}_{j}" for j in range(4))])) for i in range(80)]
+    want = brute_components(made)
+    assert len(set(want.values())) == 301
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_duplicates_of_a_crowd_below_the_threshold(spark, monkeypatch):
+    """2,000 documents of similarity 0.6: no pair of a crowded key leaves its unit of work."""
+    rows = {}
+    monkeypatch.setattr(neardup, "written", lambda df, tag, written=neardup.written: rows.setdefault(tag, []).append(written(df, tag)) or rows[tag][-1])
+    monkeypatch.setattr(neardup, "forget", lambda df: None)
+    made = crowd(np.random.default_rng(9), 2000, 64, 0, [f"t{i}" for i in range(200)])
+    got = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"))
+    assert got.where("not kept").isEmpty()
+    assert sum(t.count() for t in rows["pairs"]) < 80 * 2000 and sum(t.count() for t in rows["links"]) == 0
+
+
+def test_intersections_count_shared_shingles(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(10)
+    left, right = ([np.unique(rng.integers(0, 60, 25)) for _ in range(9)] for _ in range(2))
+    assert neardup.intersections(left, right).tolist() == [[len(set(a) & set(b)) for b in right] for a in left]
+    assert neardup.intersections([np.array([1])], [np.array([2])]).tolist() == [[0]]
+
+
 def test_chunk_keys_hold_the_pigeonhole():
     rng = np.random.default_rng(1)
     for _ in range(50):
