@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -21,6 +22,8 @@ from .runtime import scratch_path, tune
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 STORED = "shard int, doc_id long, n_tokens long, before long, ids array<int>"
+
+
 class WordEncoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
@@ -29,8 +32,9 @@ class WordEncoder:
     runs on the vocabulary's own merge order, about three times as fast. All other texts go to the tokenizer.
     """
 
-    #: No character of these changes under NFC, and all letters keep one lower-case letter.
-    _PLAIN = re.compile("[\\n\\t -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+    #: Latin letters that NFC leaves alone and whose one lower-case letter is among them too; of some, as U+0181, it lies beyond.
+    _LETTERS = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and 0xDF <= ord(c.lower()) < 0x250 and unicodedata.is_normalized("NFC", c))
+    _PLAIN = re.compile(f"[\\n\\t -~{_LETTERS}]*")
     #: What the tokenizer splits off besides runs of letters: contractions, single digits, runs of other signs.
     _MARKS = re.compile("'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \\n\\ta-z0-9\u00df-\u024f]+")
 
