@@ -8,6 +8,7 @@ piece's place follows from its rank among the pieces of its length, which is cou
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import Counter
 
@@ -27,7 +28,10 @@ Packing = list[tuple[dict[int, int], int]]
 
 class ByteEncoder:
     """Ids equal to the tokenizer's own, about four times as fast: its vocabulary and merge order drive tiktoken's merge loop. Texts
-    that hold a special token's string go to the tokenizer."""
+    that hold a special token's string go to the tokenizer, and so do those with a run of white space of LONG_RUN characters:
+    the pattern's lookahead keeps the whole run on a stack."""
+
+    LONG_RUN = re.compile(r"\s{10000}")
 
     def __init__(self, path: str):
         import tiktoken
@@ -41,7 +45,7 @@ class ByteEncoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= 10_000 and self.LONG_RUN.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
