@@ -118,7 +118,13 @@ class Lexicon:
                 spared.append((start, end + 1))
             elif start not in best or weight > best[start][1]:
                 best[start] = (end + 1, weight)
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s < b for a, b in spared)]
+        found, exceptions, reach, i = [], sorted(spared), 0, 0
+        for start, (end, weight) in sorted(best.items()):
+            while i < len(exceptions) and exceptions[i][0] <= start:
+                reach, i = max(reach, exceptions[i][1]), i + 1
+            if start >= reach:
+                found.append((start, end, weight))
+        return found
 
     def rate(self, text: str | None) -> float:
         """Weight of all hits by the square root of the number of words."""
@@ -222,7 +228,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose text is not predicted toxic. The text is scored in place, so nothing is joined."""
+    """The rows of docs, with all columns, whose text is not predicted toxic. The text is scored in place, so nothing is joined.
+
+    Null and empty texts stay, as do all rows if nothing can be learned from labels. Rows that repeat are judged each; a score of
+    exactly 0.5 is toxic. Texts are scored whole, in time linear in their length. An empty table stays empty.
+    """
     tune(docs.sparkSession)
     lexicon = learn(docs, labels)
 
