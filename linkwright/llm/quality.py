@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import forget, training_sample, tune, written
+from .runtime import training_sample, tune
 from .words import covered, ngram_hashes, word_hashes, words_of
 
 SAMPLE_ROWS = 20_000
@@ -49,12 +49,14 @@ def _stats(batches):
     for batch in batches:
         rows = [statistics(t) for t in batch.column("text").to_pylist()]
         columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 11)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [x.split()[0] for x in STATS.split(", ")])
+        others = [n for n in batch.schema.names if n not in ("doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *map(batch.column, others)], [*(x.split()[0] for x in STATS.split(", ")), *others])
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, counts and the rates that rules test; a rate without words or lines is 0."""
-    stats = docs.select("doc_id", "text").mapInArrow(_stats, STATS)
+def text_statistics(docs: DataFrame, label: str = "") -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, counts and the rates that rules test, and the column that `label` declares, if any; a
+    rate without words or lines is 0."""
+    stats = docs.select("doc_id", "text", *label.split()[:1]).mapInArrow(_stats, f"{STATS}, {label}" if label else STATS)
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("n_chars_all", F.lit(1))
     return stats.select("*", (F.col("word_chars") / words).alias("mean_word"), (F.col("n_symbols") / words).alias("symbol_rate"), (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_line_rate"), (F.col("n_repeat_words") / words).alias("repeat_rate"), (F.col("n_distinct") / words).alias("distinct_rate"), (F.col("n_upper") / chars).alias("upper_rate"), (F.col("n_digits") / chars).alias("digit_rate"), (F.col("n_marks") / chars).alias("mark_rate"))
 
@@ -153,11 +155,9 @@ def failed_base() -> Column:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules from at most `rows` documents that labels(doc_id, quality) marks, outside the held-out fold; only numbers reach the driver.
     Rows that the base rules reject are left out, as the list decides about the others."""
-    marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = written(training_sample(docs, marked, rows), "sample")
-    stats = text_statistics(sample).where(~failed_base()).select("doc_id", *TESTED).toPandas()
-    got = stats.merge(sample.select("doc_id", "quality").toPandas(), on="doc_id").sort_values("doc_id")
-    forget(sample)
+    marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    stats = text_statistics(training_sample(docs, marked, rows), "quality int").where(~failed_base())
+    got = stats.select("doc_id", *TESTED, "quality").toPandas().sort_values(["doc_id", *TESTED])
     return learn_rules(got[TESTED].to_numpy(float), (got["quality"] == 0).to_numpy())
 
 

@@ -94,7 +94,13 @@ def training_sample(docs: DataFrame, labelled: DataFrame, rows: int) -> DataFram
     """(labelled's columns, text) of at most `rows` labelled documents outside the held-out fold.
 
     The sample is the `rows` smallest hashes of doc_id, so it is the same on every run. labelled holds doc_id and label
-    columns. Only ids and labels are ranked; the join that fetches texts broadcasts at most `rows` ids.
+    columns, a row per doc_id. Only ids and labels are ranked; the join that fetches texts broadcasts at most `rows` ids. Where a
+    doc_id repeats, its distinct texts are samples each, and the `rows` smallest hashes of them all are taken.
     """
     picked = labelled.where(fold_of(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return found
+    found = found.dropDuplicates(["doc_id", "text"]).withColumn("text_hash", F.xxhash64("text"))
+    picked = found.select("doc_id", "text_hash").orderBy("text_hash", "doc_id").limit(rows).distinct()
+    return found.join(F.broadcast(picked), ["doc_id", "text_hash"]).drop("text_hash")
