@@ -2,10 +2,13 @@
 
 Base patterns give certain spans. High-recall generators propose further, overlapping spans: written-out addresses, loosely
 grouped numbers, colon-separated addresses. Boosted trees over format and context features score them, and those whose
-calibrated score reaches the threshold of their kind are redacted too. Labels are weak and need no annotation: a
-candidate is positive if it is a span of the base patterns, or if it overlaps none and its canonical form passes the check of
-its kind (`personal`). What is checked beyond format (Luhn sums, parts up to 255) is never a feature, so the trees judge by
-format and surroundings.
+calibrated score reaches the threshold of their kind are redacted too.
+
+Labels need no annotation and don't copy the base patterns. Each base span of a sampled document is also rewritten in place, in its
+real surroundings: once in another form of the same datum (`rewritten`, a positive) and once as something that only looks like it
+(`spoiled`, a negative: wrong check digits, parts above 255, order numbers). The generators' own candidates there are
+labelled by whether they are the rewritten datum. Candidates of the unchanged text are positive if they are base spans and
+negative if they aren't well formed; all others are unknown and left out.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,8 @@ from .runtime import training_sample, tune
 KINDS = ("email", "ip", "card", "phone")
 #: Documents and candidates that trees are learned from at most; the calibrated share that a redacted candidate must reach.
 SAMPLE_ROWS, SAMPLE_CANDIDATES, CERTAIN = 4_000, 40_000, 0.9
+#: Rewritten and spoiled forms of each base span that is learned from.
+VARIANTS = 3
 
 Span = tuple[int, int, str]
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -84,13 +90,14 @@ GENERATORS = [
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ ./-][0-9]{2,4}[ ./-][0-9]{2,5}(?![0-9A-Za-z])"), None),
 ]
 CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "pay", "credit"), "phone": ("tel", "phone", "call", "fax", "mobile")}
+_PHONE_CUES = re.compile("|".join(CUES["phone"]), re.IGNORECASE)
 _DIGIT = re.compile("[0-9]")
 
 
-def candidates(text: str | None) -> list[Span]:
-    """Spans of all generators and of the base patterns; they overlap."""
+def candidates(text: str | None, base: list[Span] | None = None) -> list[Span]:
+    """Spans of all generators and of the base patterns, which may be given; they overlap."""
     text = text or ""
-    found = set(base_spans(text))
+    found = set(base_spans(text) if base is None else base)
     digits = _DIGIT.search(text)
     for kind, pattern, cue in GENERATORS:
         if cue.search(text) if cue else digits:
@@ -129,17 +136,77 @@ def well_formed(text: str, span: Span) -> bool:
     return 9 <= len(form.removeprefix("+")) <= 15 and (form[0] == "+" or cued)
 
 
-def personal(text: str, span: Span) -> bool:
-    """The weak label of a span outside base spans: well formed, and its canonical form passes the check of its kind."""
-    if not well_formed(text, span):
-        return False
-    form = canonical(text[span[0] : span[1]], span[2])
-    if span[2] == "ip":
+def sound(form: str, kind: str) -> bool:
+    """Whether a canonical form passes the check of its kind: Luhn sum, parts of an address; others have none."""
+    if kind == "ip":
         try:
             ipaddress.ip_address(form)
         except ValueError:
             return False
-    return span[2] != "card" or luhn(form)
+    return kind != "card" or (12 <= len(form) <= 19 and luhn(form))
+
+
+def _grouped(digits: str, mark: str) -> str:
+    """Digits in fours, the last group of two at least."""
+    cuts = [*range(0, len(digits) - 1, 4), len(digits)]
+    return mark.join(digits[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def rewritten(span: str, kind: str, rng: np.random.Generator) -> tuple[str, str]:
+    """(words before it, another form of the same kind of datum) that base patterns don't find."""
+    pick = lambda *of: of[int(rng.integers(len(of)))]
+    if kind == "email":
+        local, _, domain = span.partition("@")
+        at, dot = pick((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", "."), ("(at)", " dot "))
+        return "", local[-64:] + at + dot.join(domain.split(".")[-3:])
+    if kind == "ip":
+        return "", ":".join(f"{x:x}" for x in rng.integers(0, 1 << 16, 8).tolist())
+    digits = _NOT_DIGIT.sub("", span)
+    if kind == "card":
+        return "", _grouped(digits, pick(".", "/", "_"))
+    mark = pick("-", ".", " ")
+    if rng.random() < 0.3:
+        return "", mark.join(("00" + digits[:-8], digits[-8:-4], digits[-4:]))
+    return pick("tel ", "phone: ", "call ", "mobile "), mark.join((digits[-10:-7].rjust(3, "2"), digits[-7:-4], digits[-4:]))
+
+
+def spoiled(span: str, kind: str, rng: np.random.Generator) -> tuple[str, str]:
+    """(words before it, something of the same look that is no datum of the kind)."""
+    pick = lambda *of: of[int(rng.integers(len(of)))]
+    if kind == "email":
+        return "", span.replace("@", " at ")[-100:]
+    if kind == "ip":
+        parts = rng.integers(0, 256, 4).tolist()
+        parts[int(rng.integers(4))] = int(rng.integers(256, 1000))
+        return "", pick(".".join(map(str, parts)), ":".join(f"{x:02}" for x in rng.integers(0, 60, 5).tolist()))
+    digits = _NOT_DIGIT.sub("", span)
+    if kind == "card":
+        wrong = digits[:-1] + str((int(digits[-1]) + int(rng.integers(1, 10))) % 10)
+        return "", _grouped(wrong, pick(".", "/", "_", " ", "-"))
+    return pick("order ", "no. ", "item ", ""), pick("-", ".", " ").join((digits[-10:-7].rjust(3, "2"), digits[-7:-4], digits[-4:]))
+
+
+class Taken:
+    """Disjoint spans by start."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def touches(self, start: int, end: int) -> bool:
+        i = bisect_left(self.ends, start + 1)
+        return i < len(self.starts) and self.starts[i] < end
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
 
 
 def _near(text: str, span: Span) -> str:
@@ -161,7 +228,7 @@ def features(text: str, span: Span) -> list[float]:
         *(float(kind == k) for k in KINDS), len(s), digits, sum(c.isalpha() for c in s), len(groups), max(groups), min(groups), groups[0], groups[-1],
         len(marks), len(set(marks)), s.startswith("+"), "(" in s, "@" in s, s.count("."), s.count(" "), s.count("-"), s.count(":"),
         float(s[0]) if s[0].isdigit() else -1.0, _class(text[start - 1 : start]), _class(text[end : end + 1]),
-        sum(c.isdigit() for c in near) / len(near), sum(c.isalpha() for c in near) / len(near), any(w in near for w in CUES[kind]), "=" in near[20:26], well_formed(text, span),
+        sum(c.isdigit() for c in near) / len(near), sum(c.isalpha() for c in near) / len(near), any(w in near for w in CUES[kind]), "=" in near[20:26], well_formed(text, span), sound(canonical(s, kind), kind),
     ]
 
 
@@ -176,12 +243,14 @@ class Selector:
         base = [base_spans(t) for t in texts]
         open_ = []
         for i, text in enumerate(texts):
-            taken = base[i]
-            open_ += [(i, c) for c in candidates(text) if not any(c[0] < e and s < c[1] for s, e, _ in taken)]
+            taken = Taken(base[i])
+            open_ += [(i, c) for c in candidates(text, base[i]) if not taken.touches(c[0], c[1])]
         scores = self.trees.predict(np.array([features(texts[i], c) for i, c in open_], float)) if open_ else []
         added: dict[int, list[Span]] = {}
+        beside: dict[int, Taken] = {}
         for score, i, c in sorted(((float(p), i, c) for p, (i, c) in zip(scores, open_, strict=True)), key=lambda x: (-x[0], x[1:])):
-            if score >= self.least.get(c[2], np.inf) and not any(c[0] < e and s < c[1] for s, e, _ in added.get(i, [])):
+            if score >= self.least.get(c[2], np.inf) and not beside.setdefault(i, Taken([])).touches(c[0], c[1]):
+                beside[i].add(c[0], c[1])
                 added.setdefault(i, []).append(c)
         return [(b, sorted(b + added.get(i, []), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))) for i, b in enumerate(base)]
 
@@ -189,22 +258,38 @@ class Selector:
 N_FEATURES = len(features("0", (0, 1, "card")))
 
 
+def examples(doc_id: int | None, text: str | None) -> list[tuple[int, str, list[float], bool]]:
+    """(start, kind, features, positive) of a document's labelled candidates, the same on every run. Changes have starts below 0."""
+    text = text or ""
+    base = base_spans(text)
+    known, taken = set(base), Taken(base)
+    out = [(c[0], c[2], features(text, c), c in known) for c in candidates(text, base) if c in known or not (taken.touches(c[0], c[1]) or (well_formed(text, c) and sound(canonical(text[c[0] : c[1]], c[2]), c[2])))]
+    for n, (start, end, kind) in enumerate(base):
+        rng = np.random.default_rng([(doc_id or 0) & 0xFFFFFFFF, start, n])
+        for positive, made in ((True, rewritten), (False, spoiled)) * VARIANTS:
+            words, form = made(text[start:end], kind, rng)
+            # Features look no further than the surroundings, so the text far off needn't be copied.
+            before, after = text[max(0, start - 200) : start], text[end : end + 200]
+            if kind == "phone" and not positive:
+                before, after = _PHONE_CUES.sub("", before), _PHONE_CUES.sub("", after)
+            before += words
+            changed, place = before + form + after, (len(before), len(before) + len(form), kind)
+            for c in candidates(changed):
+                if c[0] < place[1] and place[0] < c[1] and (c == place or not positive) and c[2] == kind and c not in base_spans(changed):
+                    out.append((-1 - n, kind, features(changed, c), positive))
+    return out
+
+
 def _sampled(batches):
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            base = base_spans(text)
-            known = set(base)
-            for c in candidates(text):
-                # What overlaps a base span without being one is never scored, so nothing is learned from it.
-                if c in known or not any(c[0] < e and s < c[1] for s, e, _ in base):
-                    rows.append((doc_id, c[0], c[2], [float(x) for x in features(text, c)], c in known or personal(text, c)))
+        rows = [(i, start, kind, [float(x) for x in of], positive) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for start, kind, of, positive in examples(i, text)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.bool_()), strict=True)], ["doc_id", "start", "kind", "features", "positive"])
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_CANDIDATES, certain: float = CERTAIN) -> Selector:
     """Trees and thresholds from at most `rows` documents and `most` of their candidates. Two thirds of the documents grow trees,
-    the others calibrate them; a kind whose calibrated share never reaches `certain` adds nothing."""
+    the others calibrate them, on what base patterns don't find. A kind without 20 such candidates or without both labels among
+    them, or whose calibrated share never reaches `certain`, adds nothing."""
     sample = training_sample(docs, docs.where("doc_id is not null").select("doc_id").distinct(), rows)
     sample = sample.mapInArrow(_sampled, "doc_id long, start long, kind string, features array<double>, positive boolean")
     got = sample.orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "kind").limit(most).toPandas()
@@ -213,13 +298,14 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_CANDIDATE
     trees = BoostedTrees().fit(x[~held], y[~held])
     least = {}
     for kind in KINDS:
-        of = held & (got["kind"] == kind).to_numpy()
-        if of.sum() >= 20:
+        of = held & (got["kind"] == kind).to_numpy() & ~((got["start"] >= 0) & got["positive"]).to_numpy()
+        if of.sum() >= 20 and 0 < y[of].sum() < of.sum():
             scores = trees.predict(x[of])
             knots, share = isotonic(scores, y[of])
             if (share >= certain).any():
-                # Nothing is known of scores below all calibrated ones.
-                least[kind] = float(np.nextafter(knots[np.argmax(share >= certain) - 1], 1) if np.argmax(share >= certain) else scores.min())
+                # The least score seen among the certain; of scores between it and the block below nothing is known.
+                first = int(np.argmax(share >= certain))
+                least[kind] = float(scores[scores > knots[first - 1]].min() if first else scores.min())
     return Selector(trees, least)
 
 
@@ -265,7 +351,12 @@ def redacted_text(text: str | None, spans: list[Span]) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data replaced in `text`, and n_chars, if there is such a column, counted anew; all columns stay."""
+    """docs with personal data replaced in `text`, and n_chars, if there is such a column, counted anew; all columns stay.
+
+    Null texts stay null (n_chars too), empty ones empty; rows that repeat are redacted each. Of candidates of equal score the first by
+    place, then kind, is taken. Texts are searched whole, in time that grows little faster than their length. An empty
+    table stays empty.
+    """
     tune(docs.sparkSession)
     selector = learn(docs)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -191,7 +192,12 @@ def test_token_files(spark, docs, rows, tmp_path):
 
 
 def test_encoders_equal_the_tokenizers(rows):
-    texts = [t for _, t in rows] + ["'''s 's!'s", "12ab!?3", "a b", "ÀÉÎ ×÷ a_b", "\ttab\r\nend "]
+    rng = np.random.default_rng(11)
+    letters = [*tokenbin.WordEncoder._LETTERS]
+    texts = [x for c in map(chr, [*range(0x80), *range(0xA0, 0x250)]) for x in (c, f"a{c}b {c}{c}", f"1{c}!'{c}s")]
+    mixed = [*letters, *"abcdeSTZ'' \n\t.,!?0123@-", "'s", "'RE", "the ", "\u0301", "\u4e00"]
+    texts += ["".join(rng.choice(mixed if i % 4 else letters, int(rng.integers(1, 30)))) for i in range(20_000)]
+    texts += [t for _, t in rows] + [" " * 2_000_000, "a" + "\t\n" * 500_000 + "b", "\n" * 1_000_000 + "x", "ab" * 300_000, "'''s 's!'s", "12ab!?3", "a b", "ÀÉÎ ×÷ a_b", "\ttab\r\nend "]
     for encoder in (tokenbin.encoder(vocabulary(tokenbin.VOCABULARY)), packing.encoder(vocabulary(packing.VOCABULARY))):
         for t in texts:
             assert encoder.encode(t).tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
@@ -314,6 +320,50 @@ def test_learned_trees_select_forms_outside_base_patterns(spark):
     assert learned.spans(["look at example.com for order 123-456-7890", "at 10:20:30:40:50 it began"]) == [([], []), ([], [])]
 
 
+def test_spans_of_a_fixed_model():
+    """All spans of a text by comparing every candidate with every span, in order of score."""
+    rng = np.random.default_rng(12)
+    trees = boosting.BoostedTrees(12).fit(rng.random((500, pii.N_FEATURES)) * 12, (rng.random(500) > 0.5).astype(float))
+    selector = pii.Selector(trees, {"email": 0.4, "ip": 0.5, "phone": 0.45})
+    parts = ["jo (at) mail dot org", "a.b@c.de", "1.2.3.4", "fe80:1:2:3:4:5:6:7", "4111.1111.1111.1111", "4111 1111 1111 1111", "+1 555 123 4567", "212-555-0187", "call", "or", "12", "1.2.3.999"]
+    for _ in range(100):
+        text = " ".join(rng.choice(parts, 12))
+        base = pii.base_spans(text)
+        left = [c for c in pii.candidates(text) if not any(c[0] < e and s < c[1] for s, e, _ in base)]
+        scores, added = trees.predict(np.array([pii.features(text, c) for c in left] or np.empty((0, pii.N_FEATURES)), float)), []
+        for p, c in sorted(zip(scores.tolist(), left, strict=True), key=lambda x: (-x[0], x[1])):
+            if p >= selector.least.get(c[2], 2) and not any(c[0] < e and s < c[1] for s, e, _ in added):
+                added.append(c)
+        assert selector.spans([text]) == [(base, sorted(base + added, key=lambda s: (s[0], pii.KINDS.index(s[2]), s[1])))]
+
+
+def test_long_texts_take_linear_time():
+    """A megabyte of nothing but hits."""
+    selector = pii.Selector(boosting.BoostedTrees(3).fit(np.random.default_rng(0).random((50, pii.N_FEATURES)), np.arange(50) % 2.0), dict.fromkeys(pii.KINDS, 0.0))
+    lexicon = toxicity.Lexicon({" clown": 5.0, " clown ": 4.0}, frozenset({" clown fish "}))
+    for run, unit in ((selector.spans, "jo (at) mail dot org a@b.cd 212-555-0187 "), (lambda t: lexicon.rate(t[0]), "clown fish clown ")):
+        took = []
+        for size in (250_000, 1_000_000):
+            began = time.process_time()
+            run([unit * (size // len(unit))])
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5
+
+
+def test_spared_hits_equal_a_plain_search():
+    lexicon = toxicity.Lexicon({" ab": 2.0, " abc ": 3.0, " b ": 1.0}, frozenset({" abc b ", " b ab"}))
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        folded = toxicity.fold(" ".join(rng.choice(["ab", "abc", "b", "abd"], 9)))
+        spared = [(m.start(), m.start() + len(p)) for p in lexicon.phrases for m in re.finditer(f"(?={p})", folded)]
+        best = {}
+        for e, w in lexicon.weights.items():
+            for m in re.finditer(f"(?={e})", folded):
+                best[m.start()] = max(best.get(m.start(), (0.0, 0)), (w, m.start() + len(e)))
+        want = [(s, e, w) for s, (w, e) in sorted(best.items()) if not any(a <= s < b for a, b in spared)]
+        assert lexicon.hits(folded) == want
+
+
 def test_substring_dedup(docs, rows):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
