@@ -18,8 +18,9 @@ HEAD = 48
 
 
 def named(contents: DataFrame, columns: list[str], tag: str) -> DataFrame:
-    """The distinct rows of `columns` with an integer `name`. Rows are sorted in their partitions, so names follow the contents
-    and not the order of arrival; the table is written, so they can't change afterwards."""
+    """The distinct rows of `columns` with an integer `name`. Rows are sorted in their partitions, so names follow the contents and not
+    the order of arrival; which integers they are depends on the number of partitions, that they tell contents apart doesn't. The
+    table is written, so names can't change afterwards."""
     ordered = contents.select(*columns).distinct().sortWithinPartitions(*columns)
     return written(ordered.withColumn("name", F.monotonically_increasing_id()), tag)
 
@@ -73,13 +74,18 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, head: int = HEAD) -> D
     groups = written(rows.where("name is not null").groupBy("name").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")), "groups")
     for table in (start, open_, unsettled, fetched):
         forget(table)
-    result = rows.join(groups, "name", "left")
-    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return result.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    # Settled rows have no name; they go past the join, where they would be one key.
+    result = rows.join(groups, "name").select("doc_id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "text_sha256")
+    settled = rows.where("name is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    return result.union(settled).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat doc_id and text, one."""
+    """The rows of docs that stay, with all their columns; of rows that repeat doc_id and text, one.
+
+    A null text equals an empty one. Of equal texts the row with the largest doc_id stays, one without doc_id only if all are. Other
+    columns, whatever their names, come along and decide nothing. An empty table stays empty.
+    """
     kept = exact_duplicates(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).toDF("kept_id", "kept_text", "times")
     kept = written(kept, "kept")
     sha = F.sha2(F.encode(ascii_lower(F.coalesce(docs["text"], F.lit(""))), "utf-8"), 256)
