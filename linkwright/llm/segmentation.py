@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 import zlib
 
@@ -33,6 +34,8 @@ SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NONE = -np.inf
+#: Steps that stand for other draws than options: of regions' bounds, of the first sample, of another option.
+BOUND, FIRST, OTHER = (1 << 40, (1 << 40) + 1, (1 << 40) + 2)
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -144,7 +147,10 @@ class Lattices:
         backward = np.zeros(n + 1)
         by = np.argsort(room.astype(np.uint16) if n and room.max() < 1 << 16 else room, kind="stable")
         value = np.empty(len(source))
-        for group in np.split(by, np.flatnonzero(np.diff(room[by])) + 1):
+        groups = np.split(by, np.flatnonzero(np.diff(room[by])) + 1)
+        # The farther from the end, the fewer states: those of the few longest chunks are summed one by one.
+        wide = next((i for i, g in enumerate(groups) if len(g) <= 3), len(groups))
+        for group in groups[:wide]:
             counts = option[group + 1] - option[group]
             edges = ranges(option[group], counts)
             ahead = target[edges]
@@ -153,6 +159,8 @@ class Lattices:
             top = np.maximum.reduceat(got, begin)
             backward[group] = top + np.log(np.add.reduceat(np.exp(got - np.repeat(top, counts)), begin))
             value[edges] = got
+        if wide < len(groups):
+            self._far(np.concatenate(groups[wide:]), option, target, weight, end, backward, value)
         logp = value - backward[source]
         running = np.cumsum(np.exp(logp))
         begin = option[:-1]
@@ -167,6 +175,18 @@ class Lattices:
             self.parts[k].append(v.astype(self.FIELDS[k]))
         self.n_states, self.n_options, self.n_ids = self.n_states + n, self.n_options + len(source), self.n_ids + len(pool)
 
+    @staticmethod
+    def _far(states: np.ndarray, option: np.ndarray, target: np.ndarray, weight: np.ndarray, end: np.ndarray, backward: np.ndarray, value: np.ndarray) -> None:
+        """Fills backward and value of states, nearest to their chunk's end first, a state at a time."""
+        sums = backward.tolist()
+        of = zip(states.tolist(), option[states].tolist(), option[states + 1].tolist(), end[states].tolist(), strict=True)
+        for state, a, b, stop in of:
+            got = [w + (sums[t] if t != stop else 0.0) for w, t in zip(weight[a:b].tolist(), target[a:b].tolist(), strict=True)]
+            top = max(got)
+            sums[state] = top + math.log(sum(math.exp(g - top) for g in got))
+            value[a:b] = got
+        backward[states] = np.array(sums)[states]
+
     def arrays(self) -> dict[str, np.ndarray]:
         for k, parts in self.parts.items():
             if len(parts) > 1:
@@ -175,9 +195,10 @@ class Lattices:
 
 
 def uniform(seeds: np.ndarray, turn: int, slot: np.ndarray, step: int) -> np.ndarray:
-    """Hashes in (0, 1) of row seed, round, chunk and step."""
-    at = (U64(turn + 1) << U64(52)) + (slot.astype(U64) << U64(16)) + U64(step)
-    return ((mix(seeds ^ at * U64(0xD1342543DE82EF95)) >> U64(12)).astype(float) + 0.5) * 2.0**-52
+    """Hashes in (0, 1) of row seed, round, chunk and step; steps beyond 16 bits go into a second product."""
+    at = (U64(turn + 1) << U64(52)) + (slot.astype(U64) << U64(16)) + U64(step & 0xFFFF)
+    above = U64((step >> 16) * 0x9E6C63D0876A9A47 % (1 << 64))
+    return ((mix(seeds ^ (at * U64(0xD1342543DE82EF95) + above)) >> U64(12)).astype(float) + 0.5) * 2.0**-52
 
 
 def truncated_gumbel(loc: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -213,7 +234,7 @@ class Search:
             after = self.t["next"][option]
             active, state = active[after >= 0], state.copy() if len(steps) == 1 else state
             state[active] = after[after >= 0]
-            step = step + 1 if step < 60_000 else salt
+            step += 1
         out = np.empty(int(counts.sum()), np.int64)
         begin = np.cumsum(counts) - counts
         for i, (rows, option) in enumerate(steps):
@@ -232,7 +253,7 @@ class Search:
             rest = np.log1p(-np.minimum(taken, 1.0))
         rest[taken > 1 - 1e-12] = _NONE
         rest[place < np.repeat(least, sizes)] = _NONE
-        u = uniform(np.repeat(self.seeds[text], sizes), turn, place, 65_000)
+        u = uniform(np.repeat(self.seeds[text], sizes), turn, place, BOUND)
         bound = truncated_gumbel(before + rest, np.repeat(best, sizes), u)
         self.rounds.append({"text": text, "begin": begin, "sizes": sizes, "slot": slot, "option": option, "mask": mask, "gone": gone, "bound": bound, "best": best, "logp": total[begin + sizes] - total[begin], "before": before})
 
@@ -242,7 +263,7 @@ class Search:
         of = np.repeat(text, self.counts)
         option, counts = self._draw(0, of, slot, self.state)
         sizes = np.bincount(of, counts, self.texts).astype(np.int64)
-        best = -np.log(-np.log(uniform(self.seeds, 0, np.zeros(self.texts, np.int64), 65_001)))
+        best = -np.log(-np.log(uniform(self.seeds, 0, np.zeros(self.texts, np.int64), FIRST)))
         zero = np.zeros(len(option), np.uint64)
         self._close(0, text, sizes, np.repeat(slot, counts), option, zero, zero.astype(float), np.zeros(self.texts, np.int64), best)
 
@@ -289,7 +310,7 @@ class Search:
         open_ = (grid < count[:, None]) & ((mask[:, None] >> grid.astype(U64)) & U64(1) == 0)
         p = np.where(open_, np.exp(self.t["logp"][np.minimum(options, len(self.t["logp"]) - 1)]), 0.0)
         running = np.cumsum(p, axis=1)
-        u = uniform(self.seeds[text], turn, slot, 65_002) * running[:, -1]
+        u = uniform(self.seeds[text], turn, slot, OTHER) * running[:, -1]
         pick = np.minimum((running <= u[:, None]).sum(axis=1), width - 1)
         new = begin + pick
         gone = pools["gone"][at] + np.exp(self.t["logp"][old])

@@ -503,12 +503,24 @@ def test_segmentations_follow_the_lattice(monkeypatch):
 def test_segmentations_of_hard_rows(docs, rows):
     held = segmentation.lattices(vocabulary(segmentation.VOCABULARY))
     held.clear()
-    got = segmentation.sampled_segmentations(docs.where("doc_id is null or doc_id <> 10005"), vocabulary(segmentation.VOCABULARY)).collect()
+    got = segmentation.sampled_segmentations(docs, vocabulary(segmentation.VOCABULARY)).collect()
     assert all(r.decoded for r in got)
     by = Counter((r.doc_id, r.rank) for r in got)
     assert by[10_000, 0] == 1 and by[10_000, 1] == 0 and by[10_003, 1] == 1 and by[10_012, 0] == 2
 
 
+def test_a_long_chunk_has_the_sums_of_its_parts(monkeypatch):
+    """One chunk of 90,000 equal letters: sums of single states equal those of groups, random numbers never repeat."""
+    held = segmentation.Lattices(segmentation.lattices(vocabulary(segmentation.VOCABULARY)).model)
+    held.learn(["a" * 90_000])
+    together = segmentation.Lattices(held.model)
+    together.learn(["a" * 300] * 4)
+    near = held.arrays()["logp"][-together.n_options // 4 :]
+    assert np.allclose(near, together.arrays()["logp"][-len(near) :])
+    u = np.concatenate([segmentation.uniform(np.array([7], np.uint64), 0, np.array([0]), s) for s in [*range(0, 300_000), segmentation.BOUND, segmentation.FIRST, segmentation.OTHER]])
+    assert len(np.unique(u)) == len(u)
+
+
 def test_segmentations_hold_their_ids(docs):
     model = segmentation.lattices(vocabulary(segmentation.VOCABULARY)).model
     some = docs.where("doc_id < 40 or doc_id = 10012")
