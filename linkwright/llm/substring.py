@@ -173,39 +173,66 @@ class SuffixAutomaton:
         return out
 
 
-def remove_reference_spans(docs: DataFrame, reference: DataFrame, threshold: int = WINDOW, shard_words: int = 200_000, most_words: int = 2_000_000) -> DataFrame:
-    """docs(doc_id, text, ...) without all spans of `threshold` or more words that reference(text) holds: (doc_id, n_words, n_removed, kept_text).
+def _dealt(texts: list[str | None], most_words: int) -> list[list[list[bytes]]]:
+    """Texts as words, in shards that end with the text that brings them to most_words."""
+    shards: list[list[list[bytes]]] = []
+    room = 0
+    for words in map(words_of, texts):
+        if room <= 0:
+            shards.append([])
+            room = most_words
+        shards[-1].append(words)
+        room -= len(words)
+    return shards
+
+
+SPANS = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+
+
+def remove_reference_spans(docs: DataFrame, reference: DataFrame, threshold: int = WINDOW, shard_words: int = 200_000, most_words: int = 2_000_000, most_bytes: int = 32 << 20, held_bytes: int = 64 << 20) -> DataFrame:
+    """docs(doc_id, text, ...) without all spans of `threshold` or more words that one text of reference(text, ...) holds:
+    (doc_id, n_words, n_removed, kept_sha256, kept_text), a row for every row of docs.
 
-    The reference's size is counted first; beyond most_words this raises ValueError, and `remove_repeats` over the union is the way.
-    Its texts are dealt into shards of about shard_words, whose texts are broadcast; a task builds a shard's automaton once. Nulls have
-    no words.
+    The reference's words and bytes are counted first; beyond most_words or most_bytes this raises ValueError, and `remove_repeats`
+    over the union is the way. Its texts are broadcast. A task reads up to held_bytes of documents, streams them through the
+    automaton of one shard of about shard_words after the other, and drops each before it builds the next. Nulls have no words
+    and lose none. Rows that repeat are searched each. Other columns are ignored; an empty table gives an empty result, an empty
+    reference removes nothing.
     """
+    tune(docs.sparkSession)
     count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    total = reference.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    if total > most_words:
-        raise ValueError(f"the reference has {total} words; automata of at most {most_words} are broadcast")
-    shards: list[list[list[bytes]]] = [[]]
-    size = 0
-    for row in reference.select("text").collect():
-        if size > shard_words:
-            shards.append([])
-            size = 0
-        shards[-1].append(words_of(row[0]))
-        size += len(shards[-1][-1])
-    sent = docs.sparkSession.sparkContext.broadcast(shards)
+    size = reference.agg(F.coalesce(F.sum(count), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if size["words"] > most_words or size["bytes"] > most_bytes:
+        raise ValueError(f"the reference has {size['words']} words in {size['bytes']} bytes; automata of at most {most_words} words in {most_bytes} bytes are broadcast")
+    sent = docs.sparkSession.sparkContext.broadcast(_dealt([r[0] for r in reference.select("text").collect()], shard_words))
+
+    def spared(held):
+        texts = [(i, words_of(t)) for batch in held for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        gone = [np.zeros(len(words), bool) for _, words in texts]
+        for shard in sent.value:
+            automaton = SuffixAutomaton(shard)
+            for (_, words), mark in zip(texts, gone, strict=True):
+                found = automaton.statistics(words)
+                ends = np.flatnonzero(found >= threshold)
+                edge = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edge, ends - found[ends] + 1, 1)
+                np.add.at(edge, ends + 1, -1)
+                mark |= np.cumsum(edge)[:-1] > 0
+        rows = []
+        for (doc_id, words), mark in zip(texts, gone, strict=True):
+            kept = b" ".join(w for w, g in zip(words, mark.tolist(), strict=True) if not g)
+            rows.append((doc_id, len(words), int(mark.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], [c.split()[0] for c in SPANS.split(", ")])
 
     def run(batches):
-        automata = [SuffixAutomaton(s) for s in sent.value]
+        held, size = [], 0
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = words_of(text)
-                gone = np.zeros(len(words), bool)
-                for automaton in automata:
-                    found = automaton.statistics(words)
-                    for end in np.flatnonzero(found >= threshold):
-                        gone[end - found[end] + 1 : end + 1] = True
-                rows.append((doc_id, len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+            held.append(batch)
+            size += batch.nbytes
+            if size >= held_bytes:
+                yield spared(held)
+                held, size = [], 0
+        if any(b.num_rows for b in held):
+            yield spared(held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SPANS)

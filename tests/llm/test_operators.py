@@ -392,7 +392,9 @@ def test_suffix_automaton(spark):
         assert substring.SuffixAutomaton(ref).statistics(text).tolist() == want
     made = spark.createDataFrame([(1, f"x {PASSAGE} y"), (2, None)], "doc_id long, text string")
     reference = spark.createDataFrame([(PASSAGE,), (None,)], "text string")
-    assert {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove_reference_spans(made, reference).collect()} == {1: (60, "x y"), 2: (0, "")}
+    for sizes in ({}, {"shard_words": 3, "held_bytes": 1}):
+        assert {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove_reference_spans(made, reference, **sizes).collect()} == {1: (60, "x y"), 2: (0, "")}
+    assert {r.n_removed for r in substring.remove_reference_spans(made, reference.limit(0)).collect()} == {0}
     with pytest.raises(ValueError, match="words"):
         substring.remove_reference_spans(made, reference, most_words=10)
 
@@ -533,6 +535,7 @@ def test_segmentations_hold_their_ids(docs):
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES))
 def test_empty_tables(spark, empty, tmp_path, name):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a b",)], "text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
@@ -541,7 +544,8 @@ def test_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in ORACLE_SQL.items():
         got, want = QUERIES[name](spark, SF).toPandas(), con.sql(sql).df()
         columns = sorted(want.columns)
