@@ -8,9 +8,12 @@ similarity of exactly 0.75 a pair differs in 20 of 80 symbols on average (sd 3.9
 Pairs within a key are never all emitted. First every document is compared with one leader of each of its keys, the document
 that shares keys most often (the middle of a family of near copies); links are confirmed on full shingle sets and joined into
 components. Then only keys whose other documents still lie in different components are open. In open keys of up to CROWD
-documents, pairs of different components whose sizes allow a link are compared. Larger open keys are dealt into blocks, and
-each pair of blocks is a bounded unit of work that counts all its intersections as one matrix product; it returns no pairs
-but a forest of the links it found. So no link between components is lost, at any size of a key, without a cap.
+documents, pairs of different components whose sizes allow a link are compared.
+
+In larger open keys only documents outside the key's largest component are left over. They and all documents of the key are
+dealt into blocks of bounded size; a block of the one and a block of the other make a unit of work that counts all its
+intersections as one product of 0-1 matrices and returns a forest of its links, never pairs. So no link between components is
+lost, at any size of a key, without a cap.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -100,9 +103,6 @@ def alike(a, b, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-UNIT = "key long, i int, j int, block int, doc long, component long, size long, shingles array<long>"
-
-
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of `left` with all of `right`, as products of 0-1 matrices of at most COLUMNS
     shingles each. Shingles of a single set are left out first."""
@@ -123,62 +123,83 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return total
 
 
-def _forest(percent: int):
-    """The links of a unit, as far as they join components that no earlier link of the unit has joined."""
-
-    def run(unit: pa.Table) -> pa.Table:
-        i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
-        doc, component, size, block = (unit.column(c).to_numpy() for c in ("doc", "component", "size", "block"))
-        order = np.argsort(doc, kind="stable")
-        sides = [order[block[order] == x] for x in (i, j)]
-        shingles = unit.column("shingles").combine_chunks()
-        values, ends = shingles.values.to_numpy(), shingles.offsets.to_numpy()
-        left, right = ([values[ends[r] : ends[r + 1]] for r in side] for side in sides)
-        pairs = []
-        if left and right:
-            shared = intersections(left, right)
-            union = size[sides[0]][:, None] + size[sides[1]][None, :] - shared
-            linked = (shared * 100 >= union * percent) & (component[sides[0]][:, None] != component[sides[1]][None, :])
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = parent.get(up, up)
-                    x = up
-                return x
-
-            for x, y in zip(*np.nonzero(linked), strict=True):
-                a, b = sides[0][x], sides[1][y]
-                ca, cb = root(int(component[a])), root(int(component[b]))
-                if ca != cb:
-                    parent[ca] = cb
-                    pairs.append((int(doc[a]), int(doc[b])))
-        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+def forest(docs: list[np.ndarray], components: list[np.ndarray], sets: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """The links between two blocks, as far as they join components that no earlier link of the unit has joined."""
+    shared = intersections(*sets)
+    sizes = [np.array([len(x) for x in side]) for side in sets]
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    linked = (shared * 100 >= union * percent) & (components[0][:, None] != components[1][None, :])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    found = []
+    for x, y in zip(*(side.tolist() for side in np.nonzero(linked)), strict=True):
+        a, b = root(int(components[0][x])), root(int(components[1][y]))
+        if a != b:
+            parent[a] = b
+            found.append((int(docs[0][x]), int(docs[1][y])))
+    return found
+
+
+def _forests(percent: int):
+    def run(batches):
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                sides = []
+                for column in ("others", "members"):
+                    block = batch.column(column).slice(row, 1).flatten()
+                    doc, component, shingles = block.flatten()
+                    values, ends = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+                    sides.append((doc.to_numpy(), component.to_numpy(), [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
+                found += forest(*map(list, zip(*sides, strict=True)), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+def spread(keyed: DataFrame) -> DataFrame:
+    """The rows of keys whose documents lie in different components."""
+    several = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    return keyed.join(several, "key")
+
+
 def links_of_open_keys(open_: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """open_(key, doc, component, size), marks(doc, signature), sets(doc, shingles) -> (a, b): links between documents of
     one key and different components, as many as connect what the key connects."""
-    sizes = open_.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    sized = written(open_.join(sizes.select("key", "n", blocks.alias("blocks")), "key"), "sized")
-    few = sized.where(F.col("n") <= CROWD)
+    counts = open_.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    sized = written(open_.join(counts, "key"), "sized")
+    few, many = sized.where(F.col("n") <= CROWD), sized.where(F.col("n") > CROWD)
     side = lambda x: few.select("key", F.col("doc").alias(x), F.col("component").alias(f"c{x}"), F.col("size").alias(f"s{x}"))
     pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
     pairs = written(near(pairs, marks), "pairs")
-    many = sized.where(F.col("n") > CROWD).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "size")
-    units = units.join(sets, "doc").select(*(c.split()[0] for c in UNIT.split(", ")))
-    crowds = units.groupBy("key", "i", "j").applyInArrow(_forest(percent), "a long, b long")
-    links = written(confirmed(pairs, sets, percent).union(crowds), "links")
-    for table in (sized, pairs):
-        forget(table)
+    links = written(confirmed(pairs, sets, percent).union(links_of_blocks(many, sets, percent)), "links")
+    forget(sized)
+    forget(pairs)
     return links
 
 
+def links_of_blocks(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links of large keys, many(key, doc, component, size, n, shingles), as forests of the links of each two blocks. A block
+    has about BLOCK documents or BLOCK_SHINGLES shingles at most."""
+    by = many.groupBy("key", "component").agg(F.count("*").alias("count"), F.sum("size").alias("sum"), F.first("n").alias("n"), F.first("shingles").alias("total"))
+    home = by.groupBy("key").agg(F.max(F.struct("count", "sum", "component")).alias("home"), F.first("n").alias("n"), F.first("total").alias("total"))
+    blocks = lambda n, total: F.greatest(F.ceil(n / BLOCK), F.ceil(total / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    home = home.select("key", F.col("home.component").alias("home"), blocks(F.col("n"), F.col("total")).alias("blocks"), blocks(F.col("n") - F.col("home.count"), F.col("total") - F.col("home.sum")).alias("left"))
+    dealt = many.select("key", "doc", "component").join(home, "key")
+    packed = F.collect_list(F.struct("doc", "component", "shingles"))
+    block = lambda count: F.pmod(F.xxhash64("doc"), F.col(count)).cast("int")
+    members = dealt.join(sets, "doc").groupBy("key", block("blocks").alias("block")).agg(packed.alias("members"))
+    others = dealt.where("component <> home").join(sets, "doc").groupBy("key", "blocks", block("left").alias("part")).agg(packed.alias("others"))
+    units = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(members, ["key", "block"])
+    return units.select("others", "members").mapInArrow(_forests(percent), "a long, b long")
+
+
 def near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The (a, b) whose signatures differ in at most RADIUS symbols."""
     side = lambda x: marks.select(F.col("doc").alias(x), F.col("signature").alias(f"m{x}"))
@@ -218,13 +239,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = written(components(links), "found")
     known = sizes.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
     member = written(others.where("n > 2").select("key", "doc").join(known, "doc").select("key", "doc", "component", "size"), "member")
-    spread = member.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    open_ = written(member.join(spread, "key"), "open")
-    more = links_of_open_keys(open_, marks, sets, percent)
+    more = links_of_open_keys(spread(member), marks, sets, percent)
     found = components(written(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "merged"))
     of_class = classes.select("set_id", "doc").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
     of_class = written(of_class.select("set_id", F.coalesce("component", "doc").alias("component_id")), "of_class")
-    for table in (crowded, shared, weight, others, first, sets, links, member, open_):
+    for table in (crowded, shared, weight, others, first, sets, links, member):
         forget(table)
     # Rows without a class go past the join: as one null key they would be one task.
     filed = sketches.where("n_shingles > 0 and doc_id is not null").join(of_class, "set_id").select("doc_id", "n_shingles", "component_id")

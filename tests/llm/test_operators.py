@@ -132,20 +132,50 @@ def crowd(rng, n, own, start, template):
     return [(start + i, " ".join([*template, *(f"own{start + i}_{j}" for j in range(own))])) for i in range(n)]
 
 
-def test_near_duplicates_hidden_in_a_crowd(spark):
-    """Linked documents whose keys are led by strangers: a crowd just below the threshold shares all keys with them."""
-    rng = np.random.default_rng(8)
+def hidden(rng):
+    """300 documents of similarity 0.735 to each other and 80 that are linked among themselves only."""
     template = [f"t{i}" for i in range(200)]
     made = crowd(rng, 300, 36, 0, template)
-    made += [(1000 + i, " ".join([*template, *(f"pair_{j}" for j in range(36 - i % 3)), *(f"end{i}_{j}" for j in range(4))])) for i in range(80)]
+    return made + [(1000 + i, " ".join([*template, *(f"pair_{j}" for j in range(36 - i % 3)), *(f"end{i}_{j}" for j in range(4))])) for i in range(80)]
+
+
+def test_near_duplicates_hidden_in_a_crowd(spark):
+    """Linked documents whose keys are led by strangers: a crowd just below the threshold shares all keys with them."""
+    made = hidden(np.random.default_rng(8))
     want = brute_components(made)
     assert len(set(want.values())) == 301
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_open_keys_find_all_links(spark, monkeypatch, seed):
+    """Any sets under one key, pair by pair and by small blocks: the same components as all pairs have."""
+    rng = np.random.default_rng(seed)
+    bases = [rng.choice(1000, 40, replace=False) for _ in range(6)]
+    held = {}
+    for i in range(120):
+        base = bases[int(rng.integers(6))]
+        base = np.concatenate([base, bases[0][: int(rng.integers(0, 30))]])
+        held[i] = sorted({int(x) for x in np.concatenate([rng.choice(base, int(rng.integers(25, len(base))), replace=False), rng.integers(0, 5000, int(rng.integers(0, 9)))])})
+    sets = {i: set(x) for i, x in held.items()}
+    want = components(held, [(a, b) for a in held for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    shingles = spark.createDataFrame(list(held.items()), "doc long, shingles array<long>")
+    marks = spark.createDataFrame([(i, [0] * neardup.SYMBOLS) for i in held], "doc long, signature array<int>")
+    open_ = spark.createDataFrame([(k, i, i, len(x)) for i, x in held.items() for k in (7, 8)], "key long, doc long, component long, size long")
+    # As found so far, some are in one component.
+    known = {i: i % 7 if i % 3 and want[i] == want[i % 7] else i for i in held}
+    open_ = open_.withColumn("component", F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col("doc")).cast("long"))
+    for crowd, block in ((5, 16), (5, 256), (500, 256)):
+        monkeypatch.setattr(neardup, "CROWD", crowd)
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        links = neardup.links_of_open_keys(open_, marks, shingles, 75).collect()
+        assert components(held, [*((r.a, r.b) for r in links), *known.items()]) == want
+    assert 20 < len(set(want.values())) < 120
+
+
 def test_near_duplicates_of_a_crowd_below_the_threshold(spark, monkeypatch):
-    """2,000 documents of similarity 0.6: no pair of a crowded key leaves its unit of work."""
+    """2,000 documents of similarity 0.6 with no link: no pair of a crowded key leaves its unit of work."""
     rows = {}
     monkeypatch.setattr(neardup, "written", lambda df, tag, written=neardup.written: rows.setdefault(tag, []).append(written(df, tag)) or rows[tag][-1])
     monkeypatch.setattr(neardup, "forget", lambda df: None)
