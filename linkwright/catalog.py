@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, with equivalent DuckDB SQL.
 
-Business records are derived from documents: the first six cleaned words are the name, the next eight the address, lang is the
-country, and doc_id mod 3 the source. Distinct (order, part) edges of lineitem stand for scored pairs.
+Business records are derived from whole documents: every 14 cleaned words are a record, six of name and eight of address, lang is
+the country, and doc_id mod 3 the source. Distinct (order, part) edges of lineitem stand for scored pairs.
 """
 
 from __future__ import annotations
@@ -11,19 +11,21 @@ from pyspark.sql import functions as F
 
 from .catalog_sql import ORACLE_SQL  # noqa: F401
 from .functions import text as T
-from .functions.keys import VIEWS, view
+from .functions.keys import VIEWS, derived, view
 from .functions.similarity import similarity
 from .operators import blocking as B
 from .operators import decision as D
 from .operators import metrics as M
 from .operators import models
+from .operators import reports as R
 from .operators.features import match_records
 from .plans.tables import written
 from .sources.records import id_lists
+from .sources.submission import offenders, output_statistics
 
-NAME_PASS = B.Pass("name", {"name_word": 1.0, "name_pair": 1.0}, 5, 0.05, 100)
-ADDR_PASS = B.Pass("addr", {"addr_word": 1.0, "addr_bigram": 1.0}, 5, 0.05, 100)
-MIX_PASS = B.Pass("name_addr", {"name_addr": 1.0, "name_pair": 0.5, "addr_bigram": 0.5}, 5, 0.05, 100)
+NAME_PASS = B.Pass("name", {"name_word": 1.0, "name_pair": 1.0}, 50, 0.05, 1000)
+ADDR_PASS = B.Pass("addr", {"addr_word": 1.0, "addr_bigram": 1.0}, 50, 0.05, 1000)
+MIX_PASS = B.Pass("name_addr", {"name_addr": 1.0, "name_pair": 0.5, "addr_bigram": 0.5}, 50, 0.05, 1000)
 RESCORE = {"name_word": 2.0, "addr_word": 3.0}
 
 
@@ -33,25 +35,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
+NAME_WORDS, ADDRESS_WORDS = 6, 8
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, country, src, name, address, doc_id)."""
+    """(id, country, src, name, address, doc_id, n): the n-th 14 words of each text; a text without words is one empty record."""
+    size = NAME_WORDS + ADDRESS_WORDS
     w = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("country"), T.words(T.clean_text("text")).alias("w"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("w") / size).cast("int") - 1, F.lit(0))), lambda i: F.slice("w", i * size + 1, F.lit(size)))
+    w = w.select("doc_id", "country", F.posexplode(parts).alias("n", "w"))
     src = (F.col("doc_id") % 3 + 1).cast("int")
-    return w.select(F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"), "country", src.alias("src"), F.array_join(F.slice("w", 1, 6), " ").alias("name"), F.array_join(F.slice("w", 7, 8), " ").alias("address"), "doc_id")
+    return w.select(F.concat_ws("-", F.concat(F.lit("S"), src.cast("string")), "doc_id", "n").alias("id"), "country", src.alias("src"), F.array_join(F.slice("w", 1, NAME_WORDS), " ").alias("name"), F.array_join(F.slice("w", NAME_WORDS + 1, ADDRESS_WORDS), " ").alias("address"), "doc_id", "n")
 
 
-def truth(spark: SparkSession, sf: str) -> DataFrame:
-    """(q, t): a record of source 1 and, of each other source, the first record of equal text. Copies are never expanded into pairs."""
-    d = table(spark, sf, "documents").select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("h"))
-    name = lambda n: F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias(n)
-    first = d.where("doc_id % 3 <> 0").groupBy("h", F.col("doc_id") % 3).agg(F.min("doc_id").alias("doc_id"))
-    return d.where("doc_id % 3 = 0").select("h", name("q")).join(first.select("h", name("t")), "h").select("q", "t")
+def text_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, src, doc_id, n, h): records of equal name and address share h, so class membership tells all true pairs without making any."""
+    return records(spark, sf).select("id", "src", "doc_id", "n", F.md5(F.concat_ws("|", "name", "address")).alias("h"))
 
 
-def text_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, h): records of equal text share h, so class membership tells all true pairs without making any."""
-    src = (F.col("doc_id") % 3 + 1).cast("int").cast("string")
-    return table(spark, sf, "documents").select(F.concat(F.lit("S"), src, F.lit("-"), F.col("doc_id").cast("string")).alias("id"), F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("h"))
+def truth(spark: SparkSession, sf: str) -> DataFrame:
+    """(q, t): a record of source 1 and, of each other source, the first record of its class. Copies are never expanded into pairs."""
+    c = text_classes(spark, sf)
+    first = c.where("src <> 1").groupBy("h", "src").agg(F.min(F.struct("doc_id", "n", "id")).getField("id").alias("t"))
+    return c.where("src = 1").select("h", F.col("id").alias("q")).join(first.select("h", "t"), "h").select("q", "t")
 
 
 def labelled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -161,7 +167,7 @@ def _india(s, sf):
 def _view(name):
     def query(s, sf):
         tokens = records(s, sf).select("id", F.split("name", " ").alias("nt"), F.split(F.concat_ws(" ", F.col("doc_id").cast("string"), "address"), " ").alias("at"))
-        return tokens.select("id", F.explode(view(name)).alias("key"))
+        return derived(tokens, [name]).select("id", F.explode(view(name)).alias("key"))
 
     return query
 
@@ -198,7 +204,7 @@ def _budget(s, sf):
     q, t = shared_sides(records(s, sf), ["name_word", "name_pair", "addr_word", "addr_bigram"])
     u = B.union_passes({p.name: B.retrieve(q, t, p) for p in (NAME_PASS, ADDR_PASS)})
     scored = B.pair_cosines(u, q, t, list(RESCORE)).withColumn("candidate_score", F.round(B.candidate_score(RESCORE, F.lit(False)), 6))
-    best = B.top_k(scored, 3, 0.0, score="candidate_score")
+    best = B.top_k(scored, 15, 0.0, score="candidate_score")
     return best.select("q", "t", "src", F.round("sim_name_word", 6).alias("sim_name_word"), F.round("sim_addr_word", 6).alias("sim_addr_word"), "candidate_score", F.col("rank").alias("source_rank"))
 
 
@@ -304,12 +310,45 @@ def _lists(s, sf):
     return id_lists(e.select("q").distinct(), e.where("p >= 0.5").select("q", F.col("t").cast("string").alias("t"), "p"), "p")
 
 
+#: Lists that break each rule, beside the true ones.
+BAD_LISTS = [("S1-none", ["S2-x", "S2-x", "Q9", "S1-none"]), ("S1-twice", ["S3-y"]), ("S1-twice", [])]
+
+
 def _violations(s, sf):
     r = records(s, sf)
-    t = truth(s, sf)
-    lists = t.groupBy("q").agg(F.collect_list("t").alias("ids")).withColumnRenamed("q", "id")
-    bad = lists.limit(0).union(r.where("doc_id % 30 = 0").select("id", F.array("id", F.lit("S2-x"), F.lit("S2-x"), F.lit("Q9")).alias("ids")))
-    return M.violations(lists.union(bad), r.where("src = 1 and doc_id % 2 = 0").select("id"), r.where("src <> 1").select("id"))
+    lists = truth(s, sf).groupBy("q").agg(F.collect_list("t").alias("ids")).withColumnRenamed("q", "id")
+    found = offenders(lists.union(s.createDataFrame(BAD_LISTS, "id string, ids array<string>")), r.where("src = 1").select("id"), r.where("src <> 1").select("id"))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _countries(queries):
+    return queries.withColumn("country", F.element_at(F.array(*map(F.lit, ["us", "india", "france"])), (F.col("q") % 3 + 1).cast("int")))
+
+
+def _statistics(s, sf):
+    queries, _, _, scored = _selected(s, sf)
+    return _rounded(R.candidate_statistics(queries, B.top_k(scored, 2, 0.0)), "mean", "median", "p95")
+
+
+def _source_recall(s, sf):
+    _, _, true, scored = _selected(s, sf)
+    return _rounded(R.recall_by_source(B.top_k(scored, 1, 0.0), true, F.concat(F.lit("S"), (F.col("t") % 2 + 2).cast("string"))), "recall")
+
+
+def _country_recall(s, sf):
+    queries, _, true, scored = _selected(s, sf)
+    return _rounded(R.recall_by_country(B.top_k(scored, 1, 0.0), true, _countries(queries)), "recall")
+
+
+def _matches_by_country(s, sf):
+    queries, predicted, true, scored = _selected(s, sf)
+    out = R.match_report(_countries(queries), predicted, true, B.top_k(scored, 2, 0.0))
+    return _rounded(out, *out.columns[2:])
+
+
+def _output_statistics(s, sf):
+    queries, _, _, scored = _selected(s, sf)
+    return _rounded(output_statistics(_countries(queries), scored.where("q % 5 <> 0").withColumn("selected", F.col("p") >= 0.5)), "predicted_empty_share", "mean_matches")
 
 
 def _split(s, sf):
@@ -359,5 +398,5 @@ QUERIES = {
     "doc_freq_idf": _idf, "tfidf_norms": _norms, "posting_stats": _stats, "retrieve_name": flagship, "retrieve_addr": _pass(ADDR_PASS), "retrieve_name_addr": _pass(MIX_PASS), "retrieve_fallback_country": _fallback, "union_passes": _union, "candidate_budget": _budget, "blocking_default": _candidates, "dense_topk": _dense,
     "context_features": _context, "prob_context_features": _prob_context, "owner_normalize": _owner, "select_threshold": _threshold, "select_expected_f": _expected, "apply_rule": _rule,
     "jaccard_tokens": _structure, "jaro_winkler": _jaro, **{f"similarity_{m}": _metric(m) for m in ("ratio", "token_sort", "token_set", "partial")},
-    "macro_f05": _macro, "per_query_f05": _per_query, "threshold_sweep": _sweep, "recall_at_budgets": _recall, "candidate_report": _report, "matching_results": _lists, "validator_violations": _violations, "val_split": _split, "sample_roles": _roles, "gbt_scores": _scores, "isotonic": _isotonic, "stack": _stacked, "rescore_weights": _weights,
+    "macro_f05": _macro, "per_query_f05": _per_query, "threshold_sweep": _sweep, "recall_at_budgets": _recall, "candidate_report": _report, "matching_results": _lists, "validator_violations": _violations, "candidate_statistics": _statistics, "recall_by_source": _source_recall, "recall_by_country": _country_recall, "match_report": _matches_by_country, "output_statistics": _output_statistics, "val_split": _split, "sample_roles": _roles, "gbt_scores": _scores, "isotonic": _isotonic, "stack": _stacked, "rescore_weights": _weights,
 }

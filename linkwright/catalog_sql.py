@@ -52,10 +52,11 @@ def _address_tokens(c: str) -> str:
 
 
 REC = f"""rec AS (
-    SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS id, lang AS country, doc_id % 3 + 1 AS src, array_to_string(w[1:6], ' ') AS name, array_to_string(w[7:14], ' ') AS address, doc_id
-    FROM (SELECT doc_id, lang, {_words('c')} AS w FROM (SELECT doc_id, lang, {_clean('text')} AS c FROM documents))
+    SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id || '-' || n AS id, lang AS country, doc_id % 3 + 1 AS src, array_to_string(w[n * 14 + 1:n * 14 + 6], ' ') AS name, array_to_string(w[n * 14 + 7:n * 14 + 14], ' ') AS address, doc_id, n
+    FROM (SELECT doc_id, lang, w, unnest(range(0, greatest(1, (len(w) + 13) // 14))) AS n FROM (SELECT doc_id, lang, {_words('c')} AS w FROM (SELECT doc_id, lang, {_clean('text')} AS c FROM documents)))
 )"""
-TRUTH = "truth AS (SELECT a.id AS q, b.id AS t FROM (SELECT 'S1-' || doc_id AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 = 0) a JOIN (SELECT 'S' || (min(doc_id) % 3 + 1) || '-' || min(doc_id) AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id % 3 <> 0 GROUP BY doc_id % 3, h) b USING (h))"
+TRUTH = """cls AS (SELECT id, src, doc_id, n, md5(name || '|' || address) AS h FROM rec),
+    truth AS (SELECT a.id AS q, b.id AS t FROM cls a JOIN (SELECT arg_min(id, doc_id * 1000000 + n) AS id, h FROM cls WHERE src <> 1 GROUP BY src, h) b USING (h) WHERE a.src = 1)"""
 EDGES = """e AS (
     SELECT q, t, t % 2 AS src, score, ((q + t) % 100) / 100e0 AS name_sim,
            CASE WHEN (q * 31 + t * 17) % 40 = 0 THEN 0.5e0 + ((q + t) % 50) / 100e0 ELSE ((q * 7 + t) % 100) / 10000e0 END AS p
@@ -108,7 +109,7 @@ def _weighted(views: list[str], where: str = "true") -> str:
     {side('qw', 'src = 1', 'asked')}, {side('tw', 'src <> 1', 'held')}"""
 
 
-def _scored(name: str, weights: dict[str, float], k: int = 5, least: float = 0.05, max_df: int = 100) -> str:
+def _scored(name: str, weights: dict[str, float], k: int = 50, least: float = 0.05, max_df: int = 1000) -> str:
     weight = "CASE q.view " + " ".join(f"WHEN '{v}' THEN {w}e0" for v, w in weights.items()) + " END"
     return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, src ORDER BY round(score, 9) DESC, t) - 1 AS rank FROM (SELECT q.id AS q, t.id AS t, q.src, sum(q.w * t.w * {weight}) AS score FROM qw q JOIN tw t ON q.part = t.part AND q.src = t.src AND q.view = t.view AND q.key = t.key WHERE q.view IN {_list(weights)} AND t.df <= {max_df} GROUP BY ALL)) WHERE rank < {k} AND score >= {least})"
 
@@ -175,7 +176,7 @@ ORACLE_SQL = {
     **{f"view_{v}": _view(v) for v in VIEWS},
     "doc_freq_idf": f"WITH {_weighted(['name_word'])} SELECT part, src, key, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM df JOIN sizes USING (part, src)",
     "tfidf_norms": f"WITH {_weighted(['name_word', 'addr_word'])} SELECT id, src, view, key, round(w, 6) AS w FROM qw",
-    "posting_stats": f"WITH {_weighted(list(_NAME))}, k AS (SELECT count(*) AS n FROM tw WHERE df <= 100 GROUP BY part, src, view, key) SELECT count(*) AS keys, sum(n)::BIGINT AS postings, max(n) AS longest FROM k",
+    "posting_stats": f"WITH {_weighted(list(_NAME))}, k AS (SELECT count(*) AS n FROM tw WHERE df <= 1000 GROUP BY part, src, view, key) SELECT count(*) AS keys, sum(n)::BIGINT AS postings, max(n) AS longest FROM k",
     "retrieve_name": _retrieve(_NAME),
     "retrieve_addr": _retrieve(_ADDR),
     "retrieve_name_addr": _retrieve(_MIX),
@@ -183,7 +184,7 @@ ORACLE_SQL = {
     "union_passes": f"WITH {_UNION} SELECT q, t, src, round(score_name, 6) AS score_name, round(score_addr, 6) AS score_addr, best_rank FROM u",
     "candidate_budget": f"""WITH {_UNION}, sims AS (SELECT u.q, u.t, u.src, sum(CASE WHEN a.view = 'name_word' THEN a.w * b.w ELSE 0e0 END) AS sn, sum(CASE WHEN a.view = 'addr_word' THEN a.w * b.w ELSE 0e0 END) AS sa FROM u LEFT JOIN qw a ON a.id = u.q AND a.src = u.src AND a.view IN ('name_word', 'addr_word') LEFT JOIN tw b ON b.id = u.t AND b.part = a.part AND b.view = a.view AND b.key = a.key GROUP BY ALL),
         f AS (SELECT q, t, src, coalesce(sn, 0e0) AS sn, coalesce(sa, 0e0) AS sa, round(2e0 * coalesce(sn, 0e0) + 3e0 * coalesce(sa, 0e0), 6) AS candidate_score FROM sims), g AS (SELECT *, row_number() OVER (PARTITION BY q, src ORDER BY candidate_score DESC, t) - 1 AS source_rank FROM f)
-        SELECT q, t, src, round(sn, 6) AS sim_name_word, round(sa, 6) AS sim_addr_word, candidate_score, source_rank FROM g WHERE source_rank < 3""",
+        SELECT q, t, src, round(sn, 6) AS sim_name_word, round(sa, 6) AS sim_addr_word, candidate_score, source_rank FROM g WHERE source_rank < 15""",
     "dense_topk": "WITH s AS (SELECT a.vec_id AS q, b.vec_id AS t, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, t) - 1 AS rank FROM s) SELECT q, t, round(score, 6) AS score, rank FROM r WHERE rank < 5 AND score >= 0",
     "context_features": f"""WITH {EDGES}, m AS (SELECT q, t, src, score, name_sim, row_number() OVER w_q - 1 AS q_rank, count(*) OVER g_q AS q_size, {_MARGIN.format(s='score', n='q')} AS q_margin, {_MARGIN.format(s='score', n='qs')} AS qs_margin, row_number() OVER w_t - 1 AS t_rank, count(*) OVER g_t AS t_competitors, {_MARGIN.format(s='score', n='t')} AS t_margin, score / CASE WHEN first_value(score) OVER a_q > 0 THEN first_value(score) OVER a_q ELSE 1e0 END AS rel FROM e {_windows('score', q=('q', 't'), qs=('q, src', 't'), t=('t', 'q'))})
         SELECT q, t, src, score, name_sim, q_rank, q_size, round(q_margin, 6) AS q_margin, round(qs_margin, 6) AS qs_margin, t_rank, t_competitors, round(t_margin, 6) AS t_margin, round(rel, 6) AS q_rel_score, count(*) FILTER (rel >= 0.9) OVER (PARTITION BY q) AS q_n_strong, count(*) FILTER (name_sim >= 0.9) OVER (PARTITION BY q) AS q_n_name_dupes, count(*) FILTER (name_sim >= 0.9) OVER (PARTITION BY t) AS t_n_name_dupes FROM m""",
@@ -203,9 +204,18 @@ ORACLE_SQL = {
         a AS (SELECT avg((source_rank IS NOT NULL)::INT) AS pair_recall, {', '.join(f'avg((coalesce(source_rank, 1e9) < {k})::INT) AS recall_at_{k}' for k in (1, 5, 10, 15))} FROM found),
         b AS (SELECT avg(CASE WHEN n IS NULL THEN 1e0 WHEN h = 0 THEN 0e0 ELSE 1.25e0 * h / n / (0.25e0 + h / n) END) AS f05_ceiling, avg(CASE WHEN n IS NOT NULL THEN (h = n)::INT END) AS full_recall_share, avg(CASE WHEN n IS NOT NULL THEN (h = 0)::INT END) AS zero_recall_share, count(*) AS n_queries FROM c LEFT JOIN by_q USING (q)), k AS (SELECT count(*) AS n_pairs FROM kept)
         SELECT n_queries, n_pairs, round(pair_recall, 6) AS pair_recall, {', '.join(f'round(recall_at_{k}, 6) AS recall_at_{k}' for k in (1, 5, 10, 15))}, round(f05_ceiling, 6) AS f05_ceiling, round(full_recall_share, 6) AS full_recall_share, round(zero_recall_share, 6) AS zero_recall_share, round(1 - n_pairs / (n_queries * 1000e0), 6) AS reduction_ratio FROM a, b, k""",
+    "candidate_statistics": f"WITH {EDGES}, {_RANKED}, n AS (SELECT q, count(*) FILTER (source_rank < 2) AS n FROM ranked GROUP BY q) SELECT count(*) AS n_queries, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS most, count(*) FILTER (n = 0) AS zero_candidate_queries FROM n",
+    "recall_by_source": f"WITH {_PER}, {_RANKED} SELECT 'S' || (t % 2 + 2) AS source, count(*) AS n_true, round(avg((coalesce(source_rank, 9) < 1)::INT), 6) AS recall FROM tru LEFT JOIN ranked USING (q, t) GROUP BY 1",
+    "recall_by_country": f"WITH {_PER}, {_RANKED} SELECT ['us', 'india', 'france'][q % 3 + 1] AS country, count(*) AS n_true, round(avg((coalesce(source_rank, 9) < 1)::INT), 6) AS recall FROM tru LEFT JOIN ranked USING (q, t) GROUP BY 1",
+    "match_report": f"""WITH {_PER}, {_RANKED}, h AS (SELECT q, count(*) AS n_found FROM ranked JOIN tru USING (q, t) WHERE source_rank < 2 GROUP BY q),
+        x AS (SELECT *, ['us', 'india', 'france'][q % 3 + 1] AS country, coalesce(n_found, 0) / nullif(n_true, 0) AS r FROM per LEFT JOIN h USING (q)), y AS (SELECT *, CASE WHEN n_true = 0 THEN 1e0 WHEN r = 0 THEN 0e0 ELSE 1.25e0 * r / (0.25e0 + r) END AS ceil FROM x)
+        SELECT country, count(*) AS n_queries, round(avg(f05), 6) AS macro_f05, round(avg(ceil), 6) AS macro_f05_ceiling, round(coalesce(sum(n_hit) / nullif(sum(n_pred), 0), 0), 6) AS pair_precision, round(coalesce(sum(n_hit) / nullif(sum(n_true), 0), 0), 6) AS pair_recall, round(avg((n_true = 0)::INT), 6) AS singleton_share, round(coalesce(avg(CASE WHEN n_true = 0 THEN (n_pred = 0)::INT END), 1), 6) AS singleton_accuracy, round(coalesce(avg(CASE WHEN n_true > 0 THEN f05 END), 1), 6) AS matched_query_f05, round(avg((n_pred = 0)::INT), 6) AS predicted_empty_share, round(avg(n_pred), 6) AS mean_predictions FROM y GROUP BY ROLLUP (country)""",
+    "output_statistics": f"WITH {EDGES}, per AS (SELECT q, ['us', 'india', 'france'][q % 3 + 1] AS country, count(*) FILTER (q % 5 <> 0) AS n, count(*) FILTER (q % 5 <> 0 AND p >= 0.5) AS m FROM e GROUP BY q) SELECT country, count(*) FILTER (n > 0) AS queries, count(*) FILTER (n = 0) AS without_candidates, sum(n)::BIGINT AS pairs, round(avg(CASE WHEN n > 0 THEN (m = 0)::INT END), 6) AS predicted_empty_share, round(avg(CASE WHEN n > 0 THEN m END), 6) AS mean_matches FROM per GROUP BY country",
     "matching_results": f"WITH {EDGES} SELECT q, coalesce(string_agg(CASE WHEN p >= 0.5 THEN t::VARCHAR END, ',' ORDER BY p DESC, t::VARCHAR), '') AS ids FROM e GROUP BY q",
-    "validator_violations": f"""WITH {REC}, {TRUTH}, lists AS (SELECT q AS id, list(t) AS ids FROM truth GROUP BY q UNION ALL SELECT id, [id, 'S2-x', 'S2-x', 'Q9'] FROM rec WHERE doc_id % 30 = 0), x AS (SELECT id, unnest(ids) AS t FROM lists), req AS (SELECT id FROM rec WHERE src = 1 AND doc_id % 2 = 0)
-        SELECT 'duplicate rows' AS rule, count(*) AS n FROM (SELECT id FROM lists GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'duplicate ids', count(*) FROM (SELECT id, t FROM x GROUP BY id, t HAVING count(*) > 1)
-        UNION ALL SELECT 'self match', count(*) FROM x WHERE t LIKE 'S1-%' UNION ALL SELECT 'wrong prefix', count(*) FROM x WHERE NOT regexp_matches(t, '^S[123]-') UNION ALL SELECT 'unknown id', count(*) FROM x WHERE regexp_matches(t, '^S[23]-') AND t NOT IN (SELECT id FROM rec WHERE src <> 1)
-        UNION ALL SELECT 'missing query', count(*) FROM req WHERE id NOT IN (SELECT id FROM lists) UNION ALL SELECT 'extra query', count(*) FROM lists WHERE id NOT IN (SELECT id FROM req)""",
+    "validator_violations": f"""WITH {REC}, {TRUTH}, lists AS (SELECT q AS id, list(t) AS ids FROM truth GROUP BY q UNION ALL SELECT * FROM (VALUES ('S1-none', ['S2-x', 'S2-x', 'Q9', 'S1-none']), ('S1-twice', ['S3-y']), ('S1-twice', []::VARCHAR[])) AS bad(id, ids)), x AS (SELECT id, unnest(ids) AS t FROM lists), req AS (SELECT id FROM rec WHERE src = 1)
+        SELECT rule, count(*) AS n FROM (
+            SELECT 'duplicate rows' AS rule, id AS x FROM lists GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'repeated ids', id FROM lists WHERE len(list_distinct(ids)) < len(ids)
+            UNION ALL SELECT 'missing query', id FROM req WHERE id NOT IN (SELECT id FROM lists) UNION ALL SELECT DISTINCT 'extra query', id FROM lists WHERE id NOT IN (SELECT id FROM req)
+            UNION ALL SELECT DISTINCT 'self match', t FROM x WHERE t LIKE 'S1-%' UNION ALL SELECT DISTINCT 'wrong prefix', t FROM x WHERE NOT regexp_matches(t, '^S[123]-')
+            UNION ALL SELECT DISTINCT 'unknown id', t FROM x WHERE regexp_matches(t, '^S[23]-') AND t NOT IN (SELECT id FROM rec WHERE src <> 1)) GROUP BY rule""",
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import phonetic_key, phonetic_name
+from .text import phonetic_key
 
 
 def _ngrams(text: Column, n: int = 3) -> Column:
@@ -14,8 +14,7 @@ def _ngrams(text: Column, n: int = 3) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.length(padded) <= n, F.array(padded)).otherwise(grams)
 
 
-def _pairs(tokens: Column) -> Column:
-    ordered = F.array_sort(F.array_distinct(tokens))
+def _pairs(ordered: Column) -> Column:
     return F.flatten(F.transform(ordered, lambda a, i: F.transform(F.slice(ordered, i + 2, F.size(ordered)), lambda b: F.concat(a, F.lit("|"), b))))
 
 
@@ -37,26 +36,40 @@ def _affixes(nt: Column) -> Column:
     return F.concat(head, F.transform(F.filter(alpha, lambda x: F.length(x) >= 6), lambda x: F.concat(F.lit("s:"), F.right(x, F.lit(4)))))
 
 
-def view(name: str, nt="nt", at="at", n: int = 3) -> Column:
-    """The distinct keys of a view."""
-    nt, at = (F.col(c) if isinstance(c, str) else c for c in (nt, at))
-    compact = F.array_join(nt, "")
-    sounds = F.filter(F.transform(nt, phonetic_key), lambda k: F.length(k) >= 2)
+#: What each view reads besides nt and at.
+_NEEDS = {"name_char": ["_compact"], "name_compact": ["_compact"], "name_phon": ["_phon"], "name_pkey": ["_sounds"], "name_pair": ["_nt_sorted"], "name_pkey_pair": ["_sounds_sorted"], "name_addr": ["_nt_once", "_at_once"]}
+
+
+def derived(tokens: DataFrame, views: list[str]) -> DataFrame:
+    """tokens(nt, at, ...) with the columns that these views read, a step each, so that no lambda repeats what a row needs once."""
+    wanted = {c for v in views for c in _NEEDS.get(v, [])}
+    out = tokens
+    if wanted & {"_phon", "_sounds", "_sounds_sorted"}:
+        out = out.withColumn("_heard", F.transform("nt", phonetic_key))
+        out = out.withColumns({"_phon": F.array_join("_heard", ""), "_sounds": F.filter("_heard", lambda k: F.length(k) >= 2)})
+        out = out.withColumn("_sounds_sorted", F.array_sort(F.array_distinct("_sounds"))).drop("_heard")
+    once = {"_compact": F.array_join("nt", ""), "_nt_once": F.array_distinct("nt"), "_at_once": F.array_distinct("at"), "_nt_sorted": F.array_sort(F.array_distinct("nt"))}
+    return out.withColumns({c: e for c, e in once.items() if c in wanted})
+
+
+def view(name: str, n: int = 3) -> Column:
+    """The distinct keys of a view, from the columns of `derived`."""
+    nt, at = F.col("nt"), F.col("at")
     return F.array_distinct(
         {
-            "name_char": lambda: _ngrams(compact, n),
-            "name_phon": lambda: _ngrams(F.replace(phonetic_name(nt), F.lit(" "), F.lit("")), n),
+            "name_char": lambda: _ngrams(F.col("_compact"), n),
+            "name_phon": lambda: _ngrams(F.col("_phon"), n),
             "name_word": lambda: nt,
-            "name_pkey": lambda: sounds,
+            "name_pkey": lambda: F.col("_sounds"),
             "name_affix": lambda: _affixes(nt),
-            "name_compact": lambda: F.when(F.length(compact) >= 6, F.array(F.substring(compact, 1, 8))).otherwise(F.array().cast("array<string>")),
+            "name_compact": lambda: F.when(F.length("_compact") >= 6, F.array(F.substring("_compact", 1, 8))).otherwise(F.array().cast("array<string>")),
             "name_del": lambda: F.flatten(F.transform(F.filter(nt, lambda x: x.rlike("^[a-z]{5,}$")), _deletions)),
-            "name_pair": lambda: _pairs(nt),
-            "name_pkey_pair": lambda: _pairs(sounds),
+            "name_pair": lambda: _pairs(F.col("_nt_sorted")),
+            "name_pkey_pair": lambda: _pairs(F.col("_sounds_sorted")),
             "addr_word": lambda: at,
             "addr_num": lambda: F.filter(at, lambda x: x.rlike(r"^\d+$")),
             "addr_bigram": lambda: _bigrams(at),
-            "name_addr": lambda: F.flatten(F.transform(F.array_distinct(nt), lambda a: F.transform(F.array_distinct(at), lambda b: F.concat(a, F.lit("|"), b)))),
+            "name_addr": lambda: F.flatten(F.transform("_nt_once", lambda a: F.transform("_at_once", lambda b: F.concat(a, F.lit("|"), b)))),
             "addr_numstreet": lambda: _bigrams(at, lambda p: p.a.rlike(r"^\d+$") & p.b.rlike("^[a-z]+$")),
         }[name]()
     )

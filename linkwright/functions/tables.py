@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # Trailing legal forms, in order of preference at one place.
-LEGAL_FORMS = [r"pvt\s+ltd", r"private\s+limited", "ltd", "limited", "llp", "opc", r"co\s+operative", "coop", "incorporated", "inc", "corporation", "corp", "llc", r"l\.l\.c", r"l\.p", "lp", "co", "company", "sarl", "sas", "sasu", "sa", "eurl", "snc", "sci"]
+LEGAL_FORMS = [r"pvt\s+ltd", r"private\s+limited", "ltd", "limited", "llp", "opc", r"co\s+operative", "coop", "incorporated", "inc", "corporation", "corp", "llc", "lp", "co", "company", "sarl", "sas", "sasu", "sa", "eurl", "snc", "sci"]
 
 LEGAL_TOKENS = ["pvt", "private", "ltd", "limited", "llp", "opc", "llc", "inc", "incorporated", "corp", "corporation", "co", "company", "lp", "pllc", "plc", "pc", "pte", "pty", "sarl", "sas", "sasu", "sa", "eurl", "snc", "sci", "gmbh", "praivet", "piraivet", "praivat", "pryvet", "limitet", "limitad", "limittad", "limitted", "kampani", "kampni", "kampeni"]
 FILLER_TOKENS = ["the", "and", "of", "dba", "aka", "ms", "com", "www", "net", "org", "in", "id", "null", "et", "de", "du", "des", "la", "le", "les"]

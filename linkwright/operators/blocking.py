@@ -6,12 +6,13 @@ a country without targets in a source is searched in all of that source.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import view
+from ..functions.keys import derived, view
 from ..functions.text import address_tokens, name_tokens
 from ..plans.tables import written
 
@@ -44,6 +45,25 @@ class Config:
     def views(self) -> list[str]:
         return list(dict.fromkeys([v for p in self.passes for v in p.weights] + list(self.rescore)))
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), indent=2)
+
+    @staticmethod
+    def from_json(text: str) -> Config:
+        """Settings that are left out keep their defaults; an unknown one is a TypeError."""
+        found = json.loads(text)
+        if "passes" in found:
+            found["passes"] = tuple(Pass(**p) for p in found["passes"])
+        return Config(**found)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\0").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str | None) -> Config:
+        """The settings in a JSON file or a folder made by save; the defaults without a path."""
+        return Config.from_json(spark.read.text(path, wholetext=True).first()[0].rstrip("\0")) if path else Config()
+
 
 def with_tokens(records: DataFrame) -> DataFrame:
     return records.withColumn("nt", name_tokens("name")).withColumn("at", address_tokens("address"))
@@ -56,7 +76,7 @@ def record_keys(tokens: DataFrame, views: list[str]) -> DataFrame:
         return F.transform(view(v), lambda key: F.struct(F.lit(v).alias("view"), key.alias("key")))
 
     both = [named(v) for v in views]
-    return tokens.select("id", "country", "src", F.explode(F.flatten(F.array(*both))).alias("x")).select("id", "country", "src", "x.view", "x.key")
+    return derived(tokens, views).select("id", "country", "src", F.explode(F.flatten(F.array(*both))).alias("x")).select("id", "country", "src", "x.view", "x.key")
 
 
 def search_parts(queries: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:

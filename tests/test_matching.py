@@ -149,10 +149,10 @@ def test_all_copies_count_as_true(spark, tmp_path):
     texts = ["one text in many copies"] * 30 + [f"another text {i}" for i in range(300)]
     spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     classes = catalog.text_classes(spark, str(tmp_path))
-    pairs = spark.createDataFrame([("S1-0", "S2-1"), ("S1-0", "S2-28"), ("S1-3", "S3-29"), ("S1-0", "S2-31")], "q string, t string")
-    assert {(r.q, r.t): r.label for r in catalog.labelled(pairs, classes).collect()} == {("S1-0", "S2-1"): True, ("S1-0", "S2-28"): True, ("S1-3", "S3-29"): True, ("S1-0", "S2-31"): False}
+    pairs = spark.createDataFrame([("S1-0-0", "S2-1-0"), ("S1-0-0", "S2-28-0"), ("S1-3-0", "S3-29-0"), ("S1-0-0", "S2-31-0")], "q string, t string")
+    assert {(r.q, r.t): r.label for r in catalog.labelled(pairs, classes).collect()} == {("S1-0-0", "S2-1-0"): True, ("S1-0-0", "S2-28-0"): True, ("S1-3-0", "S3-29-0"): True, ("S1-0-0", "S2-31-0"): False}
     got = {r.id for r in catalog.QUERIES["val_split"](spark, str(tmp_path)).where("kind = 'target'").collect()}
-    assert {f"S{i % 3 + 1}-{i}" for i in range(30) if i % 3} <= got and len(got) == 80
+    assert {f"S{i % 3 + 1}-{i}-0" for i in range(30) if i % 3} <= got and len(got) == 80
 
 
 def test_rescoring_weights_are_of_the_default_passes(spark):
