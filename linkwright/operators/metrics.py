@@ -28,15 +28,23 @@ def evaluate(queries: DataFrame, predicted: DataFrame, truth: DataFrame) -> Data
 
 
 def threshold_sweep(queries: DataFrame, scored: DataFrame, truth: DataFrame, start: float = 0.30, stop: float = 0.90, step: float = 0.02) -> DataFrame:
-    """(threshold, macro_f05): each pair counts for every threshold up to its p, so pairs are read once."""
-    cuts = queries.sparkSession.range(round((stop - start) / step) + 1).select(F.round(F.col("id") * step + start, 2).alias("threshold"))
+    """(threshold, macro_f05). A pair is counted once, at the greatest threshold up to its p; what a lower threshold selects is a
+    running sum over the query's few counts, and a query's score at every threshold is an element of one array."""
+    cuts = [round(start + i * step, 2) for i in range(round((stop - start) / step) + 1)]
     true = truth.select("q", "t").distinct().withColumn("hit", F.lit(1))
     marked = scored.groupBy("q", "t").agg(F.max("p").alias("p")).join(true, ["q", "t"], "left")
-    per = F.broadcast(cuts).join(marked, F.col("p") >= F.col("threshold")).groupBy("threshold", "q").agg(F.count("*").alias("n_pred"), F.count("hit").alias("n_hit"))
-    n_true = queries.select("q").join(true.groupBy("q").agg(F.count("*").alias("n_true")), "q", "left").fillna(0)
-    every = n_true.crossJoin(F.broadcast(cuts)).join(per, ["threshold", "q"], "left").fillna(0)
-    f = f_beta(F.coalesce(F.try_divide("n_hit", "n_pred"), F.lit(0.0)), F.coalesce(F.try_divide("n_hit", "n_true"), F.lit(0.0)))
-    return every.groupBy("threshold").agg(F.avg(F.when((F.col("n_pred") == 0) & (F.col("n_true") == 0), 1.0).otherwise(f)).alias("macro_f05"))
+    # Pairs below the first threshold are never selected.
+    marked = marked.where(F.col("p") >= cuts[0]).withColumn("at", sum(((F.col("p") >= c).cast("int") for c in cuts[1:]), F.lit(0)))
+    per = marked.groupBy("q").agg(*(x for i in range(len(cuts)) for x in (F.count_if(F.col("at") >= i).alias(f"p{i}"), F.count_if((F.col("at") >= i) & F.col("hit").isNotNull()).alias(f"h{i}"))))
+    every = queries.select("q").join(true.groupBy("q").agg(F.count("*").alias("n_true")), "q", "left").join(per, "q", "left").fillna(0)
+
+    def score(i: int) -> Column:
+        pred, hit = F.col(f"p{i}"), F.col(f"h{i}")
+        f = f_beta(F.coalesce(F.try_divide(hit, pred), F.lit(0.0)), F.coalesce(F.try_divide(hit, "n_true"), F.lit(0.0)))
+        return F.avg(F.when((pred == 0) & (F.col("n_true") == 0), 1.0).otherwise(f)).alias(f"f{i}")
+
+    means = every.agg(*map(score, range(len(cuts))))
+    return means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("threshold"), F.col(f"f{i}").alias("macro_f05")) for i, c in enumerate(cuts)))).alias("x")).select("x.*")
 
 
 def candidate_report(queries: DataFrame, pairs: DataFrame, truth: DataFrame, n_targets: int, ks=(1, 5, 10, 15)) -> DataFrame:
@@ -54,22 +62,3 @@ def candidate_report(queries: DataFrame, pairs: DataFrame, truth: DataFrame, n_t
 def recall_at_budgets(pairs: DataFrame, n_true: int, budgets: list[int]) -> DataFrame:
     """One row: share of n_true that pairs(label, source_rank) keep within each budget."""
     return pairs.agg(*(F.try_divide(F.sum((F.col("label") & (F.col("source_rank") < b)).cast("long")), F.lit(n_true)).alias(f"recall_{b}") for b in budgets))
-
-
-def violations(lists: DataFrame, required: DataFrame, targets: DataFrame) -> DataFrame:
-    """(rule, n) for lists(id, ids array): duplicate rows and ids, wrong prefixes, self matches, unknown, missing and extra ids."""
-    each = lists.select("id", F.explode("ids").alias("t"))
-    rules = {
-        "duplicate rows": lists.groupBy("id").count().where("count > 1"),
-        "duplicate ids": each.groupBy("id", "t").count().where("count > 1"),
-        "self match": each.where(F.col("t").startswith("S1-")),
-        "wrong prefix": each.where(~F.col("t").rlike("^S[123]-")),
-        "unknown id": each.where(F.col("t").rlike("^S[23]-")).join(targets, each.t == targets.id, "left_anti"),
-        "missing query": required.join(lists, "id", "left_anti"),
-        "extra query": lists.join(required, "id", "left_anti"),
-    }
-    out = None
-    for name, rows in rules.items():
-        one = rows.agg(F.lit(name).alias("rule"), F.count("*").alias("n"))
-        out = one if out is None else out.union(one)
-    return out

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .decision import apply_rule, probability_context
@@ -35,13 +35,53 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(filled).drop(*columns)
 
 
-def train_matcher(train: DataFrame, features: list[str], trees: int = 40, depth: int = 5):
-    """train holds `label` and perhaps `stop`, which marks rows for early stopping. Returns a function that adds a probability."""
+class Matcher:
+    """A fitted model with the features it reads. Called on a DataFrame it adds a probability."""
+
+    def __init__(self, model, features: list[str]):
+        self.model, self.features = model, features
+
+    def __call__(self, df: DataFrame, name: str = "p") -> DataFrame:
+        """Features are taken by name; a column that is missing is an error of the plan."""
+        return self.model.transform(assembled(df, self.features)).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+    def importances(self) -> list[tuple[str, float]]:
+        """(feature, share of the trees' gain), greatest first; a feature's null flag counts for it."""
+        gains = self.model.featureImportances.toArray()
+        both = [(f, float(gains[i] + gains[i + len(self.features)])) for i, f in enumerate(self.features)]
+        return sorted(both, key=lambda x: (-x[1], x[0]))
+
+    def save(self, path: str) -> None:
+        """Writes the model and the order of its features to a folder that driver and executors share."""
+        self.model.write().overwrite().save(f"{path}/model")
+        SparkSession.getActiveSession().createDataFrame(list(enumerate(self.features)), "at int, feature string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Matcher:
+        features = spark.read.schema("at int, feature string").json(f"{path}/features").orderBy("at").collect()
+        return Matcher(GBTClassificationModel.load(f"{path}/model"), [r["feature"] for r in features])
+
+
+def train_matcher(train: DataFrame, features: list[str], trees: int = 40, depth: int = 5) -> Matcher:
+    """train holds `label` and perhaps `stop`, which marks rows for early stopping."""
     gbt = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, labelCol="label")
     if "stop" in train.columns:
         gbt = gbt.setValidationIndicatorCol("stop")
-    model = gbt.fit(assembled(train.withColumn("label", F.col("label").cast("double")), features))
-    return lambda df, name="p": model.transform(assembled(df, features)).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return Matcher(gbt.fit(assembled(train.withColumn("label", F.col("label").cast("double")), features)), features)
+
+
+def mean_of(models: list[Matcher], df: DataFrame, name: str = "p") -> DataFrame:
+    """df with the mean probability of the models, for rows that none of them was trained on."""
+    names = [f"{name}_{i}" for i in range(len(models))]
+    for model, n in zip(models, names, strict=True):
+        df = model(df, n)
+    return df.withColumn(name, sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).drop(*names)
+
+
+def apply_stack(models: list[Matcher], scored: DataFrame) -> DataFrame:
+    """scored(q, t, p) with p2, the second-stage models' mean over the probabilities of competing pairs."""
+    context = probability_context(scored)
+    return mean_of(models, context, "p2").select(*scored.columns, "p2")
 
 
 def out_of_fold(pairs: DataFrame, features: list[str], **kw) -> DataFrame:
@@ -62,9 +102,13 @@ def _second(context: DataFrame, trees: int = 20) -> DataFrame:
     return models[1](marked.where("fold = 0"), "p2").unionByName(models[0](marked.where("fold = 1"), "p2")).select("q", "t", "p2")
 
 
-def calibrator(scored: DataFrame, p: str = "p"):
-    """An isotonic fit of label by p; returns a function that adds `calibrated` between 0 and 1."""
-    model = IsotonicRegression(featuresCol=p, labelCol="y").fit(scored.select(F.col(p), F.col("label").cast("double").alias("y")))
+def calibrator(scored: DataFrame, p: str = "p", bins: int = 10_000):
+    """An isotonic fit of label by p; returns a function that adds `calibrated` between 0 and 1.
+
+    Spark pools the points of a fit on the driver, so they are first summed in `bins` bins of p by weight: at most so many points,
+    however many pairs there are."""
+    points = scored.groupBy(F.floor(F.col(p) * bins).alias("bin")).agg(F.avg(p).alias(p), F.avg(F.col("label").cast("double")).alias("y"), F.count("*").cast("double").alias("weight"))
+    model = IsotonicRegression(featuresCol=p, labelCol="y", weightCol="weight").fit(points)
     return lambda df: model.transform(df).withColumn("calibrated", F.greatest(F.least("prediction", F.lit(1.0)), F.lit(0.0))).drop("prediction")
 
 
