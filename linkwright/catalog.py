@@ -18,7 +18,7 @@ from .operators import decision as D
 from .operators import metrics as M
 from .operators import models
 from .operators import reports as R
-from .operators.features import match_records
+from .operators.features import BLOCKING, STRUCTURE, TOKENS, match_records, pair_features
 from .plans.tables import written
 from .sources.records import id_lists
 from .sources.submission import offenders, output_statistics
@@ -149,6 +149,18 @@ def _address_tokens(s, sf):
     return records(s, sf).select("id", F.array_join(T.address_tokens(a), " ").alias("tokens"))
 
 
+def _clean_addresses(s, sf):
+    state = F.element_at(F.array(*map(F.lit, ["New York", "North Carolina", "Ohio", "IN", "West Virginia"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    country = F.element_at(F.array(*map(F.lit, ["us", "france", "peru"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    r = records(s, sf).select("id", country.alias("country"), F.concat_ws(" ", F.lit("12, St. R. Av;"), "address", state).alias("a"))
+    return r.select("id", "country", T.clean_address("a", "country", india=False).alias("clean_address"))
+
+
+def _record_texts(s, sf):
+    r = records(s, sf).select("id", T.source_of("id").alias("src"), T.record_text("name", "address").alias("text"), T.id_list(F.concat_ws(" , ,", "id", "country", "id")).alias("ids"))
+    return r.select("id", "src", "text", F.size("ids").alias("n_ids"), F.array_join("ids", "|").alias("ids"))
+
+
 def _indic(s, sf):
     from .functions.tables import INDIC_CONSONANTS
 
@@ -256,6 +268,25 @@ def _structure(s, sf):
     return both.select("q", "t", inter.alias("name_inter"), F.round(inter / (F.size("q_names") + F.size("t_names") - inter), 6).alias("name_jaccard"), (F.col("q_first") == F.col("t_first")).alias("first_eq"))
 
 
+STRUCTURE_COLUMNS = [*(c for c in TOKENS if not c.endswith("jaccard")), *STRUCTURE, "is_s2"]
+
+
+def _pair_structure(s, sf):
+    """Features of pairs without strings: each record of source 1 and that of the next document at the same place, with five house
+    numbers and without an address in every seventh document."""
+    house = F.element_at(F.array(*map(F.lit, ["12", "12", "1", "120", "7"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    r = records(s, sf).withColumn("address", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat_ws(" ", house, "address")))
+    q = r.where("src = 1").select(F.col("id").alias("q"), (F.col("doc_id") + 1).alias("doc_id"), "n")
+    pairs = q.join(r.select("doc_id", "n", "src", F.col("id").alias("t")), ["doc_id", "n"]).select("q", "t", "src", *(F.lit(0.5).alias(c) for c in BLOCKING if c != "source_rank"))
+    found = pair_features(pairs.withColumn("source_rank", F.lit(0)), match_records(r))
+    return found.select("q", "t", *STRUCTURE_COLUMNS, *(F.round(f"{v}_jaccard", 6).alias(f"{v}_jaccard") for v in ("name", "addr", "num")))
+
+
+def _candidate_scores(s, sf):
+    e = edges(s, sf).select("q", "t", F.col("name_sim").alias("sim_name_word"), F.col("p").alias("sim_addr_word"), ((F.col("q") + F.col("t")) % 3 == 0).alias("missing_address"))
+    return e.select("q", "t", "missing_address", F.round(B.candidate_score(RESCORE, F.col("missing_address")), 6).alias("candidate_score"))
+
+
 def _pairs_of_names(s, sf):
     """(a, x, b, y): every customer with each supplier that it has bought from."""
     bought = table(s, sf, "orders").join(table(s, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
@@ -393,10 +424,10 @@ def _weights(s, sf):
 
 
 QUERIES = {
-    "clean_text": _clean_text, "business_name_suffix": _suffix, "postal_code": _postal, "numeric_tokens": _numbers, "address_expand": _expanded, "region_codes_us": _states, "region_codes_india": _india, "transliterate": _indic, "phonetic_keys": _phonetic, "fix_leet": _leet, "name_tokens": _name_tokens, "address_tokens": _address_tokens,
+    "clean_text": _clean_text, "business_name_suffix": _suffix, "postal_code": _postal, "numeric_tokens": _numbers, "address_expand": _expanded, "clean_address": _clean_addresses, "record_text": _record_texts, "region_codes_us": _states, "region_codes_india": _india, "transliterate": _indic, "phonetic_keys": _phonetic, "fix_leet": _leet, "name_tokens": _name_tokens, "address_tokens": _address_tokens,
     **{f"view_{v}": _view(v) for v in VIEWS},
     "doc_freq_idf": _idf, "tfidf_norms": _norms, "posting_stats": _stats, "retrieve_name": flagship, "retrieve_addr": _pass(ADDR_PASS), "retrieve_name_addr": _pass(MIX_PASS), "retrieve_fallback_country": _fallback, "union_passes": _union, "candidate_budget": _budget, "blocking_default": _candidates, "dense_topk": _dense,
     "context_features": _context, "prob_context_features": _prob_context, "owner_normalize": _owner, "select_threshold": _threshold, "select_expected_f": _expected, "apply_rule": _rule,
-    "jaccard_tokens": _structure, "jaro_winkler": _jaro, **{f"similarity_{m}": _metric(m) for m in ("ratio", "token_sort", "token_set", "partial")},
+    "jaccard_tokens": _structure, "pair_structure": _pair_structure, "candidate_score": _candidate_scores, "jaro_winkler": _jaro, **{f"similarity_{m}": _metric(m) for m in ("ratio", "token_sort", "token_set", "partial")},
     "macro_f05": _macro, "per_query_f05": _per_query, "threshold_sweep": _sweep, "recall_at_budgets": _recall, "candidate_report": _report, "matching_results": _lists, "validator_violations": _violations, "candidate_statistics": _statistics, "recall_by_source": _source_recall, "recall_by_country": _country_recall, "match_report": _matches_by_country, "output_statistics": _output_statistics, "val_split": _split, "sample_roles": _roles, "gbt_scores": _scores, "isotonic": _isotonic, "stack": _stacked, "rescore_weights": _weights,
 }

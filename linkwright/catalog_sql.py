@@ -146,17 +146,47 @@ _PER = f"""{EDGES}, pred AS (SELECT q, t FROM e WHERE p >= 0.5), tru AS (SELECT
 _RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY q, src ORDER BY round(score, 9) DESC, t) - 1 AS source_rank FROM e)"
 
 
-def _states() -> str:
-    out = "concat_ws(' ', name, ['new york', 'north carolina', 'ohio', 'in', 'west virginia'][doc_id % 5 + 1])"
+def _region_codes(out: str) -> str:
     for code, name in sorted(V.US_REGIONS.items(), key=lambda r: (-len(r[1].split()), r[1])):
         out = rf"regexp_replace({out}, '(^| ){name}( |$)', '\1{code}\2', 'g')"
-    return f"WITH {REC} SELECT id, {out} AS coded FROM rec"
+    return out
 
 
-def _expand() -> str:
+def _states() -> str:
+    coded = _region_codes("concat_ws(' ', name, ['new york', 'north carolina', 'ohio', 'in', 'west virginia'][doc_id % 5 + 1])")
+    return f"WITH {REC} SELECT id, {coded} AS coded FROM rec"
+
+
+def _expanded(c: str, france: str) -> str:
     table = lambda pairs: "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in pairs.items()) + "}"
     get = lambda pairs: f"coalesce({table(pairs)}[x], x)"
-    return f"WITH {REC} SELECT id, array_to_string(list_transform({_words('a')}, lambda x: CASE WHEN country = 'fr' THEN {get(V.ADDRESS_FRANCE)} ELSE {get(V.ADDRESS_GENERIC)} END), ' ') AS expanded FROM (SELECT id, country, '12 st r av ' || address AS a FROM rec)"
+    return f"array_to_string(list_transform({_words(c)}, lambda x: CASE WHEN country = '{france}' THEN {get(V.ADDRESS_FRANCE)} ELSE {get(V.ADDRESS_GENERIC)} END), ' ')"
+
+
+def _expand() -> str:
+    return f"WITH {REC} SELECT id, {_expanded('a', 'fr')} AS expanded FROM (SELECT id, country, '12 st r av ' || address AS a FROM rec)"
+
+
+def _clean_addresses() -> str:
+    return f"""WITH {REC}, a AS (SELECT id, ['us', 'france', 'peru'][doc_id % 3 + 1] AS country, concat_ws(' ', '12, St. R. Av;', address, ['New York', 'North Carolina', 'Ohio', 'IN', 'West Virginia'][doc_id % 5 + 1]) AS a FROM rec),
+    c AS (SELECT id, country, {_clean('a')} AS c FROM a), x AS (SELECT id, country, {_expanded('c', 'france')} AS e FROM c)
+    SELECT id, country, CASE WHEN country = 'us' THEN {_region_codes('e')} ELSE e END AS clean_address FROM x"""
+
+
+def _pair_structure() -> str:
+    number = r"lambda x: regexp_matches(x, '^\d+$')"
+    inter = lambda f: f"len(list_intersect(a.{f}, b.{f}))"
+    columns = []
+    for view, field in (("name", "names"), ("addr", "addrs"), ("num", "nums")):
+        known = "CASE WHEN a.has AND b.has THEN {} END" if view == "addr" else "{}"
+        jaccard = f"round({inter(field)} / nullif(len(a.{field}) + len(b.{field}) - {inter(field)}, 0), 6)"
+        columns += [f"{known.format(inter(field))} AS {view}_inter", f"{known.format(jaccard)} AS {view}_jaccard", f"len(a.{field}) AS {view}_count_q", f"len(b.{field}) AS {view}_count_c"]
+    return f"""WITH {REC}, h AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN '' ELSE ['12', '12', '1', '120', '7'][doc_id % 5 + 1] || ' ' || address END AS address) FROM rec),
+    tok AS (SELECT id, src, doc_id, n, {_name_tokens('name')} AS nt, {_address_tokens('address')} AS ad FROM h),
+    f AS (SELECT id, src, doc_id, n, list_distinct(nt) AS names, list_distinct(ad) AS addrs, list_filter(list_distinct(ad), {number}) AS nums, list_filter(ad, {number})[1] AS house, nt[1] AS first, length(array_to_string(nt, '')) AS len, len(ad) > 0 AS has FROM tok)
+    SELECT a.id AS q, b.id AS t, {', '.join(columns)}, CASE WHEN len(a.nums) > 0 AND len(b.nums) > 0 THEN ({inter('nums')} = 0)::INT END AS num_conflict, (a.house = b.house)::INT AS house_eq,
+           (starts_with(a.house, b.house) OR starts_with(b.house, a.house))::INT AS house_prefix, coalesce((a.first = b.first)::INT, 0) AS first_token_eq, a.len AS name_len_q, b.len AS name_len_c, a.has::INT AS has_addr_q, b.has::INT AS has_addr_c, (b.src = 2)::INT AS is_s2
+    FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 AND b.n = a.n WHERE a.src = 1"""
 
 
 _FORM = r"\s*(?:" + "|".join(rf"\b{form}\b" for form in V.LEGAL_FORMS) + r")\s*$"
@@ -168,6 +198,8 @@ ORACLE_SQL = {
     "postal_code": r"SELECT doc_id, country, CASE country WHEN 'india' THEN regexp_extract(a, '\b([1-9][0-9]{5})\b', 1) WHEN 'us' THEN regexp_extract(a, '\b([0-9]{5})(?:-[0-9]{4})?\b', 1) WHEN 'france' THEN regexp_extract(a, '\b([0-9]{5})\b', 1) ELSE regexp_extract(a, '\b([0-9]{5,6})\b', 1) END AS postal_code FROM (SELECT doc_id, ['india', 'us', 'france', 'peru'][doc_id % 4 + 1] AS country, '12 Main Rd, Town ' || (10000 + doc_id * 137) || '-1234' AS a FROM documents)",
     "numeric_tokens": rf"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_clean('text')}, '\b(\d+)\b', 1))), ',') AS numbers FROM documents",
     "address_expand": _expand(),
+    "clean_address": _clean_addresses(),
+    "record_text": f"WITH {REC}, x AS (SELECT id, concat_ws(' | ', name, nullif(address, '')) AS text, list_filter(list_transform(string_split(concat_ws(' , ,', id, country, id), ','), lambda x: trim(x)), lambda x: x <> '') AS ids FROM rec) SELECT id, substr(id, 2, 1)::TINYINT AS src, text, len(ids)::INT AS n_ids, array_to_string(ids, '|') AS ids FROM x",
     "region_codes_us": _states(),
     "phonetic_keys": f"{_ONLY_WORDS} SELECT word, {_phonetic('word')} AS sound FROM words",
     "fix_leet": f"{_ONLY_WORDS}, l AS (SELECT DISTINCT translate(word, 'oe', '03') AS word FROM words) SELECT word, {_leet('word')} AS fixed FROM l",
@@ -194,6 +226,8 @@ ORACLE_SQL = {
     "select_threshold": f"WITH {EDGES} SELECT q, t, p FROM e WHERE p >= 0.5",
     "select_expected_f": f"WITH {EDGES}, base AS (SELECT q, t, p AS pu FROM e), {_EXPECTED} SELECT q, t, selected FROM s",
     "apply_rule": f"WITH {EDGES}, base AS (SELECT q, t, p / greatest(1e0, sum(p) OVER (PARTITION BY t)) AS pu FROM e), {_EXPECTED} SELECT q, t, round(pu, 6) AS p_used FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY pu DESC, q) AS first FROM s WHERE selected) WHERE first = 1",
+    "pair_structure": _pair_structure(),
+    "candidate_score": f"WITH {EDGES} SELECT q, t, (q + t) % 3 = 0 AS missing_address, round(CASE WHEN (q + t) % 3 = 0 THEN name_sim * 2 * (5e0 / 2) ELSE name_sim * 2 + p * 3 END, 6) AS candidate_score FROM e",
     "jaccard_tokens": f"WITH {REC}, {TRUTH}, r AS (SELECT id, list_distinct({_name_tokens('name')}) AS names, ({_name_tokens('name')})[1] AS first FROM rec) SELECT q, t, len(list_intersect(a.names, b.names)) AS name_inter, round(len(list_intersect(a.names, b.names)) / (len(a.names) + len(b.names) - len(list_intersect(a.names, b.names))), 6) AS name_jaccard, a.first = b.first AS first_eq FROM truth JOIN r a ON a.id = q JOIN r b ON b.id = t",
     "jaro_winkler": "SELECT c_custkey AS a, s_suppkey AS b, round(jaro_winkler_similarity(c_name || ' ' || c_mktsegment, s_name || ' machinery'), 6) AS sim FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey",
     "macro_f05": f"WITH {_PER} SELECT count(*) AS n_queries, round(avg(f05), 6) AS macro_f05, round(sum(n_hit) / sum(n_pred), 6) AS precision, round(sum(n_hit) / sum(n_true), 6) AS recall, round(avg((n_true = 0)::INT), 6) AS singleton_share, round(avg(CASE WHEN n_true = 0 THEN (n_pred = 0)::INT END), 6) AS singleton_accuracy, round(avg((n_pred = 0)::INT), 6) AS empty_share, round(avg(n_pred), 6) AS mean_predictions FROM per",
