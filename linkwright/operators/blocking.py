@@ -119,11 +119,19 @@ def top_k(scored: DataFrame, k: int, min_score: float, group=("q", "src"), score
 
 def retrieve(q: DataFrame, t: DataFrame, p: Pass) -> DataFrame:
     """(q, t, src, score, rank): an inverted index. Keys of more than max_df targets are dropped before the join, so that no key
-    pairs a query with more than max_df targets."""
+    pairs a query with more than max_df targets.
+
+    The targets of a key, at most max_df, are one array of a written table: the join still sees two plain shuffles, which AQE
+    can split where many queries share a key, and arrays go to their queries before they are unfolded, so that sums and ranks
+    need no further shuffle.
+    """
     weight = F.create_map(*(F.lit(x) for kv in p.weights.items() for x in kv))
-    left = q.where(F.col("view").isin(*p.weights)).where(F.col("df") <= p.max_df).select("part", "src", "view", "key", F.col("id").alias("q"), (F.col("w") * weight[F.col("view")]).alias("qw"))
-    right = t.where(F.col("view").isin(*p.weights)).where(F.col("df") <= p.max_df).select("part", "src", "view", "key", F.col("id").alias("t"), F.col("w").alias("tw"))
-    scored = left.join(right, ["part", "src", "view", "key"]).groupBy("q", "t", "src").agg(F.sum(F.col("qw") * F.col("tw")).alias("score"))
+    key = ["part", "src", "view", "key"]
+    rare = lambda side: side.where(F.col("view").isin(*p.weights)).where(F.col("df") <= p.max_df)
+    left = rare(q).select(*key, F.col("id").alias("q"), (F.col("w") * weight[F.col("view")]).alias("qw"))
+    postings = written(rare(t).groupBy(*key).agg(F.collect_list(F.struct(F.col("id").alias("t"), F.col("w").alias("tw"))).alias("held")))
+    found = left.join(postings, key).select("q", "src", "qw", "held").repartition("q", "src")
+    scored = found.select("q", "src", "qw", F.inline("held")).groupBy("q", "t", "src").agg(F.sum(F.col("qw") * F.col("tw")).alias("score"))
     return top_k(scored, p.k, p.min_score)
 
 
