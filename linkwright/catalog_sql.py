@@ -189,6 +189,22 @@ def _pair_structure() -> str:
     FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 AND b.n = a.n WHERE a.src = 1"""
 
 
+_NUMBERED = "regexp_matches(run, '(^| )[0-9]+( |$)')"
+_STATES = ", ".join(f"({i}, '{name}', '{code}')" for i, (name, code) in enumerate((n, c) for c, names in V.INDIA_REGIONS.items() for n in names if len(n) > 2))
+_REGIONS = f"""WITH RECURSIVE {REC}, r AS (SELECT id, {_words("address || ' ' || ['maharashtr', 'karnatak', 'tamil nadu', 'dilli', 'or'][doc_id % 5 + 1]")} AS ws FROM rec),
+    runs AS (SELECT id, i, w, array_to_string(ws[i:i + w - 1], ' ') AS run FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM r), (SELECT unnest(range(1, 9)) AS w) WHERE i + w - 1 <= len(ws)),
+    names(place, name, code) AS (VALUES {_STATES}),
+    heard AS (SELECT sound, arg_min(code, place) AS code FROM (SELECT place, code, {_phonetic("replace(name, ' ', '')")} AS sound FROM names) WHERE length(sound) >= 5 GROUP BY sound),
+    sounds AS (SELECT run, CASE WHEN length(run) >= 5 THEN {_phonetic("replace(run, ' ', '')")} END AS sound FROM (SELECT DISTINCT run FROM runs) WHERE NOT {_NUMBERED}),
+    coded AS (SELECT run, coalesce(n.code, h.code) AS code FROM sounds LEFT JOIN names n ON n.name = run LEFT JOIN heard h USING (sound) WHERE coalesce(n.code, h.code) IS NOT NULL),
+    hits AS (SELECT id, i, max(w) AS w, arg_max(code, w) AS code FROM runs JOIN coded USING (run) GROUP BY id, i),
+    chosen AS (SELECT id, i, w, code FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1
+        UNION ALL SELECT h.id, h.i, h.w, h.code FROM chosen c JOIN hits h ON h.id = c.id AND h.i >= c.i + c.w QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY h.i) = 1),
+    each AS (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM r)
+    SELECT e.id, string_agg(coalesce(c.code, e.word), ' ' ORDER BY e.p) AS coded FROM each e LEFT JOIN chosen c ON c.id = e.id AND e.p BETWEEN c.i AND c.i + c.w - 1 WHERE c.i IS NULL OR c.i = e.p GROUP BY e.id"""
+_LETTER = "[" + ", ".join(f"'{x}'" for x in V.INDIC_CONSONANTS.values()) + "]"
+_AT = lambda k: f"{_LETTER}[c_custkey * {k} % {len(V.INDIC_CONSONANTS)} + 1]"
+_LATIN = f"SELECT c_custkey, {_AT(1)} || 'a' || {_AT(7)} || 'a' || CASE WHEN {_AT(11)}[1] IN ('p', 'b', 'm') THEN 'm' ELSE 'n' END || {_AT(11)} || {_AT(13)} AS latin FROM customer"
 _FORM = r"\s*(?:" + "|".join(rf"\b{form}\b" for form in V.LEGAL_FORMS) + r")\s*$"
 _ONLY_WORDS = f"WITH {REC}, words AS (SELECT DISTINCT word FROM (SELECT unnest({_words('name')}) AS word FROM rec))"
 
@@ -201,6 +217,8 @@ ORACLE_SQL = {
     "clean_address": _clean_addresses(),
     "record_text": f"WITH {REC}, x AS (SELECT id, concat_ws(' | ', name, nullif(address, '')) AS text, list_filter(list_transform(string_split(concat_ws(' , ,', id, country, id), ','), lambda x: trim(x)), lambda x: x <> '') AS ids FROM rec) SELECT id, substr(id, 2, 1)::TINYINT AS src, text, len(ids)::INT AS n_ids, array_to_string(ids, '|') AS ids FROM x",
     "region_codes_us": _states(),
+    "region_codes_india": _REGIONS,
+    "transliterate": _LATIN,
     "phonetic_keys": f"{_ONLY_WORDS} SELECT word, {_phonetic('word')} AS sound FROM words",
     "fix_leet": f"{_ONLY_WORDS}, l AS (SELECT DISTINCT translate(word, 'oe', '03') AS word FROM words) SELECT word, {_leet('word')} AS fixed FROM l",
     "name_tokens": f"WITH {REC}, n AS (SELECT id, name || ' ltd 2024' AS c FROM rec) SELECT id, array_to_string({_name_tokens('c')}, ' ') AS tokens FROM n",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import phonetic_key
+from .text import phonetic_key, words
 
 
 def _ngrams(text: Column, n: int = 3) -> Column:
@@ -45,7 +45,7 @@ def derived(tokens: DataFrame, views: list[str]) -> DataFrame:
     wanted = {c for v in views for c in _NEEDS.get(v, [])}
     out = tokens
     if wanted & {"_phon", "_sounds", "_sounds_sorted"}:
-        out = out.withColumn("_heard", F.transform("nt", phonetic_key))
+        out = out.withColumn("_heard", words(phonetic_key(F.array_join("nt", " "))))
         out = out.withColumns({"_phon": F.array_join("_heard", ""), "_sounds": F.filter("_heard", lambda k: F.length(k) >= 2)})
         out = out.withColumn("_sounds_sorted", F.array_sort(F.array_distinct("_sounds"))).drop("_heard")
     once = {"_compact": F.array_join("nt", ""), "_nt_once": F.array_distinct("nt"), "_at_once": F.array_distinct("at"), "_nt_sorted": F.array_sort(F.array_distinct("nt"))}

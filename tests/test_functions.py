@@ -1,9 +1,12 @@
 import random
 
+import duckdb
 import pytest
 
+from linkwright.catalog_sql import _phonetic
 from linkwright.functions import similarity as S
 from linkwright.functions import text as T
+from linkwright.functions.tables import INDIA_REGIONS
 
 
 def run(spark, f, values):
@@ -36,7 +39,37 @@ def test_phonetic_bridges(spark):
     assert keys[0:8:2] == keys[1:8:2] and keys[8:] == ["12", ""]
     rng = random.Random(1)
     some = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz12") for _ in range(rng.randint(1, 9))) for _ in range(300)]
-    assert run(spark, T.phonetic_key, some) == [T.plain_phonetic_key(w) for w in some]
+    each = run(spark, T.phonetic_key, some)
+    assert run(spark, T.phonetic_key, [" ".join(some)]) == [" ".join(each)]
+    assert [duckdb.execute(f"SELECT {_phonetic('x')} FROM (SELECT ? AS x)", [w]).fetchone()[0] for w in some] == each
+
+
+def test_india_regions_by_brute_force(spark):
+    """Texts read from the left, the longest run of words that is a name first."""
+    names = {name: code for code, spelled in INDIA_REGIONS.items() for name in spelled if len(name) > 2}
+    heard = dict(zip(run(spark, T.phonetic_key, [n.replace(" ", "") for n in names]), names.values(), strict=True))
+    rng = random.Random(2)
+    parts = [*names, "or", "ct", "12", "dilhi", "gujrat", "maharashtr", "karnatak", "nagar", "haveli", "and", "west", "islands", "tamil", "7b", "diu"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(120)] + ["", "goa " * 400 + "goa"]
+    runs = sorted({" ".join(ws[i : i + w]) for ws in map(str.split, texts) for i in range(len(ws)) for w in range(1, 9)})
+    sounds = dict(zip(runs, run(spark, T.phonetic_key, [r.replace(" ", "") for r in runs]), strict=True))
+
+    def code(ws):
+        joined = " ".join(ws)
+        if set(map(str.isdigit, ws)) != {False}:
+            return None
+        return names.get(joined) or (heard.get(sounds[joined]) if min(len(joined), len(sounds[joined])) >= 5 else None)
+
+    def read(text):
+        out, ws = "", text.split()
+        while ws:
+            n = next((w for w in range(min(8, len(ws)), 0, -1) if code(ws[:w])), 0)
+            out += " " + (code(ws[:n]) if n else ws[0])
+            del ws[: n or 1]
+        return out[1:]
+
+    assert run(spark, T.india_region_codes, texts) == [read(t) for t in texts]
+    assert run(spark, T.india_region_codes, [None, "goa", "x 5 goa5"]) == [None, "ga", "x 5 goa5"]
 
 
 def test_postal_code(spark):
