@@ -245,7 +245,7 @@ def _prob_context(s, sf):
 
 
 def _owner(s, sf):
-    return edges(s, sf).select("q", "t", F.round(D.owner_normalized(), 6).alias("p_used"))
+    return D.owner_normalized(edges(s, sf), "p_used").select("q", "t", F.round("p_used", 6).alias("p_used"))
 
 
 def _threshold(s, sf):

@@ -189,6 +189,15 @@ def _pair_structure() -> str:
     FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 AND b.n = a.n WHERE a.src = 1"""
 
 
+_ROLES = """WITH f AS (SELECT q, (CAST('0x' || substr(md5(q || '|0'), 1, 8) AS BIGINT) % 2)::INT AS fold, md5(q || '|42') AS draw FROM (SELECT DISTINCT l_orderkey AS q FROM lineitem)),
+    p AS (SELECT q, fold, row_number() OVER (PARTITION BY fold ORDER BY draw, q) AS place FROM f)
+    SELECT q, fold, CASE WHEN place <= 20 THEN 'stop' WHEN place <= 200 THEN 'train' ELSE 'rest' END AS role FROM p"""
+_SPLIT = f"""WITH {REC}, cls AS (SELECT id, src, md5(name || '|' || address) AS h, md5(id || '|42') AS draw FROM rec),
+    q AS (SELECT id, h, draw, h IN (SELECT h FROM cls WHERE src <> 1) AS matched FROM cls WHERE src = 1),
+    picked AS (SELECT id, h, matched FROM q QUALIFY row_number() OVER (PARTITION BY matched ORDER BY draw, id) <= CASE WHEN matched THEN 38 ELSE 2 END),
+    tru AS (SELECT id FROM cls WHERE src <> 1 AND h IN (SELECT h FROM picked WHERE matched))
+    SELECT 'query' AS kind, id FROM picked UNION ALL SELECT 'target', id FROM tru
+    UNION ALL (SELECT 'target', id FROM cls WHERE src <> 1 AND id NOT IN (SELECT id FROM tru) ORDER BY draw, id LIMIT 60)"""
 _NUMBERED = "regexp_matches(run, '(^| )[0-9]+( |$)')"
 _STATES = ", ".join(f"({i}, '{name}', '{code}')" for i, (name, code) in enumerate((n, c) for c, names in V.INDIA_REGIONS.items() for n in names if len(n) > 2))
 _REGIONS = f"""WITH RECURSIVE {REC}, r AS (SELECT id, {_words("address || ' ' || ['maharashtr', 'karnatak', 'tamil nadu', 'dilli', 'or'][doc_id % 5 + 1]")} AS ws FROM rec),
@@ -217,6 +226,8 @@ ORACLE_SQL = {
     "clean_address": _clean_addresses(),
     "record_text": f"WITH {REC}, x AS (SELECT id, concat_ws(' | ', name, nullif(address, '')) AS text, list_filter(list_transform(string_split(concat_ws(' , ,', id, country, id), ','), lambda x: trim(x)), lambda x: x <> '') AS ids FROM rec) SELECT id, substr(id, 2, 1)::TINYINT AS src, text, len(ids)::INT AS n_ids, array_to_string(ids, '|') AS ids FROM x",
     "region_codes_us": _states(),
+    "sample_roles": _ROLES,
+    "val_split": _SPLIT,
     "region_codes_india": _REGIONS,
     "transliterate": _LATIN,
     "phonetic_keys": f"{_ONLY_WORDS} SELECT word, {_phonetic('word')} AS sound FROM words",

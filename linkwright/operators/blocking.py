@@ -111,10 +111,11 @@ def weighted(keys: DataFrame, parts: DataFrame, df: DataFrame, sizes: DataFrame)
 
 def top_k(scored: DataFrame, k: int, min_score: float, group=("q", "src"), score: str = "score") -> DataFrame:
     """The k best of each group with rank from 0; ties by t."""
-    # Rounded, so that the order in which a shuffle sums can't change ranks.
+    # Rounded, so that the order in which a shuffle sums can't change ranks. The limit is on row_number itself: so Spark drops what
+    # is beyond it in each partition before the shuffle.
     best = Window.partitionBy(*group).orderBy(F.desc(F.round(score, 9)), "t")
-    ranked = scored.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
-    return ranked.where(F.col(score) >= min_score)
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.where(F.col(score) >= min_score).withColumn("rank", F.col("rank") - 1)
 
 
 def retrieve(q: DataFrame, t: DataFrame, p: Pass) -> DataFrame:
@@ -188,12 +189,17 @@ def candidates(records: DataFrame, config: Config = Config()) -> DataFrame:
     return top_k(scored, config.budget, config.min_score, score="candidate_score").withColumnRenamed("rank", "source_rank")
 
 
-def dense_top_k(queries: DataFrame, targets: DataFrame, k: int = 10, min_score: float = 0.5) -> DataFrame:
-    """(q, t, src, score, rank) by exact cosine within a part. queries(q, part, v), targets(t, src, part, v); part bounds the comparisons.
-    A record that is on both sides isn't its own match."""
+def dense_top_k(queries: DataFrame, targets: DataFrame, k: int = 10, min_score: float = 0.5, block: int = 100_000) -> DataFrame:
+    """(q, t, src, score, rank) by exact cosine within a part. queries(q, part, v) are a stated set, targets(t, src, part, v) of any
+    number; part bounds the comparisons. A record that is on both sides isn't its own match.
+
+    Targets of a part are dealt over blocks of about `block`, and its queries go to each, so that a part isn't one task; the best
+    k of each task are taken before the shuffle by query.
+    """
     unit = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     dot = F.aggregate(F.zip_with("v", "u", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    left = queries.withColumn("vn", unit("v"))
-    right = targets.withColumnRenamed("v", "u").withColumn("un", unit("u"))
-    scored = left.join(right, "part").where("q <> t").select("q", "t", "src", (dot / (F.col("vn") * F.col("un"))).alias("score"))
+    blocks = targets.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    left = queries.withColumn("vn", unit("v")).join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = targets.withColumnRenamed("v", "u").withColumn("un", unit("u")).join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("t"), "blocks").cast("int")).drop("blocks")
+    scored = left.join(right, ["part", "block"]).where("q <> t").select("q", "t", "src", (dot / (F.col("vn") * F.col("un"))).alias("score"))
     return top_k(scored, k, min_score)

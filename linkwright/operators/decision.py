@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
@@ -35,9 +35,11 @@ def probability_context(pairs: DataFrame) -> DataFrame:
     return out.drop("pq_best", "pt_best")
 
 
-def owner_normalized(p: str = "p") -> Column:
-    """Probability over what all queries claim of a target, if that is more than one."""
-    return F.col(p) / F.greatest(F.lit(1.0), F.sum(p).over(Window.partitionBy("t")))
+def owner_normalized(pairs: DataFrame, name: str, p: str = "p") -> DataFrame:
+    """pairs with, as `name`, the probability over what all queries claim of the target, if that is more than one. Claims are summed
+    before the shuffle, so that a target which many queries claim isn't one task; only targets claimed more than once are joined."""
+    claims = pairs.groupBy("t").agg(F.sum(p).alias("_claimed")).where("_claimed > 1")
+    return pairs.join(claims, "t", "left").withColumn(name, F.col(p) / F.coalesce("_claimed", F.lit(1.0))).select(*pairs.columns, name)
 
 
 def select_expected_f(pairs: DataFrame, p: str = "p", beta: float = 0.5, missing_mass: float = 0.05) -> DataFrame:
@@ -54,12 +56,13 @@ def select_expected_f(pairs: DataFrame, p: str = "p", beta: float = 0.5, missing
 
 
 def exclusive(pairs: DataFrame, p: str = "p") -> DataFrame:
-    """Of the selected pairs of a target, the best stays; ties by q."""
-    first = Window.partitionBy("t", "selected").orderBy(F.desc(p), "q")
-    return pairs.withColumn("selected", F.col("selected") & (F.row_number().over(first) == 1))
+    """Of the selected pairs of a target, the best stays; ties by q. Pairs are distinct. The best is found before the shuffle."""
+    best = pairs.where("selected").groupBy("t").agg(F.min(F.struct((-F.col(p)).alias("p"), "q")).alias("_best"))
+    owners = best.select("t", F.col("_best.q").alias("q"), F.lit(True).alias("_owner"))
+    return pairs.join(owners, ["q", "t"], "left").withColumn("selected", F.col("selected") & F.col("_owner").isNotNull()).select(*pairs.columns)
 
 
 def apply_rule(pairs: DataFrame, kind: str = "expected_f", threshold: float = 0.5, missing_mass: float = 0.05, normalize: bool = True, single_owner: bool = True, beta: float = 0.5) -> DataFrame:
-    out = pairs.withColumn("p_used", owner_normalized() if normalize else F.col("p"))
+    out = owner_normalized(pairs, "p_used") if normalize else pairs.withColumn("p_used", F.col("p"))
     out = select_expected_f(out, "p_used", beta, missing_mass) if kind == "expected_f" else out.withColumn("selected", F.col("p_used") >= threshold)
     return exclusive(out, "p_used") if single_owner else out

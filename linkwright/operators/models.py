@@ -9,6 +9,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sampling import drawn, drawn_number
 from .decision import apply_rule, probability_context
 from .metrics import per_query
 
@@ -18,14 +19,18 @@ STACKED = ["p", "logit", "pq_margin", "pq_rank", "pq_size", "pq_sum", "pq_likely
 
 def fold(q: str = "q", n: int = 2) -> Column:
     """The fold of a query, by hash: all pairs of a query share it."""
-    return F.pmod(F.xxhash64(q), F.lit(n)).cast("int")
+    return (drawn_number(q, 0) % n).cast("int")
 
 
 def sample_roles(queries: DataFrame, per_fold: int, early_share: float = 0.1, seed: int = 42) -> DataFrame:
-    """(q, fold, role): per_fold queries of each fold are `train` or `stop` (for early stopping), the others `rest`."""
-    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64("q", F.lit(seed)), "q"))
-    role = F.when(F.col("place") <= int(per_fold * early_share), "stop").when(F.col("place") <= per_fold, "train").otherwise("rest")
-    return queries.select("q", fold().alias("fold")).withColumn("place", place).select("q", "fold", role.alias("role"))
+    """(q, fold, role): per_fold queries of each fold are `train` or `stop` (for early stopping), the others `rest`. queries(q) are
+    distinct. Only the per_fold queries of a fold are ever ranked in one task."""
+    marked = queries.select("q", fold().alias("fold"), drawn("q", seed).alias("draw"))
+    first = [marked.where(F.col("fold") == f).orderBy("draw", "q").limit(per_fold) for f in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("fold").orderBy("draw", "q"))
+    role = F.when(place <= int(per_fold * early_share), "stop").otherwise("train")
+    picked = first[0].union(first[1]).select("q", role.alias("role"))
+    return marked.join(picked, "q", "left").select("q", "fold", F.coalesce("role", F.lit("rest")).alias("role"))
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sampling import drawn, drawn_number
 from ..plans.tables import written
 from .decision import apply_rule
 from .models import calibrator, fold, rule_grid, tune_rule
@@ -15,7 +16,7 @@ PLAIN = {"kind": "threshold", "threshold": 0.5, "normalize": False, "single_owne
 
 def split_queries(queries: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """(q, held_out): about that share of queries, by hash."""
-    return queries.select("q").distinct().withColumn("held_out", F.pmod(F.xxhash64("q", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    return queries.select("q").distinct().withColumn("held_out", drawn_number("q", seed) < share * (1 << 32))
 
 
 def missing_mass(queries: DataFrame, scored: DataFrame, truth: DataFrame) -> float:
@@ -62,4 +63,4 @@ def query_set(queries: DataFrame, split: str, validation: DataFrame | None = Non
     if split == "val":
         return queries.join(validation.select("q").distinct(), "q", "left_semi")
     rest = queries if validation is None else queries.join(validation.select("q").distinct(), "q", "left_anti")
-    return rest if n is None else rest.orderBy(F.xxhash64("q", F.lit(seed)), "q").limit(n)
+    return rest if n is None else rest.orderBy(drawn("q", seed), "q").limit(n)

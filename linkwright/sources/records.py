@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sampling import drawn
 from ..functions.text import id_list
 
 RAW = "entity_id string, business_name string, business_address string, country string"
@@ -71,7 +72,7 @@ def write_pairs(df: DataFrame, path: str) -> None:
 def validation_split(queries: DataFrame, truth: DataFrame, targets: DataFrame, n_queries: int, n_distractors: int, singleton_share: float = 0.056, seed: int = 42, on: str = "t") -> tuple[DataFrame, DataFrame]:
     """(queries, targets) of a small copy: that share of singletons, the rest matched, all their true targets and some others of each source.
     truth(q, on) and targets(t, on) meet by `on`: the target itself, or a class that true pairs share."""
-    order = lambda c: (F.xxhash64(c, F.lit(seed)), c)
+    order = lambda c: (drawn(c, seed), c)
     matched = queries.join(truth, "q", "left_semi").orderBy(*order("q")).limit(round(n_queries * (1 - singleton_share)))
     single = queries.join(truth, "q", "left_anti").orderBy(*order("q")).limit(round(n_queries * singleton_share))
     picked = matched.unionByName(single)

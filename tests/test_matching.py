@@ -92,7 +92,7 @@ def test_expected_f(spark):
 
 def test_owner_and_exclusivity(spark):
     df = spark.createDataFrame([(0, 7, 0.9), (1, 7, 0.6), (2, 8, 0.5)], "q int, t int, p double").withColumn("selected", F.lit(True))
-    assert {r.q: round(r.o, 6) for r in df.select("q", D.owner_normalized().alias("o")).collect()} == {0: 0.6, 1: 0.4, 2: 0.5}
+    assert {r.q: round(r.o, 6) for r in D.owner_normalized(df, "o").collect()} == {0: 0.6, 1: 0.4, 2: 0.5}
     assert {r.q: r.selected for r in D.exclusive(df).collect()} == {0: True, 1: False, 2: True}
 
 
