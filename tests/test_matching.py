@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkwright import catalog
+from linkwright.operators import blocking
 from linkwright.operators import decision as D
 from linkwright.operators import metrics as M
 from linkwright.operators.blocking import Config, candidates, top_k, union_passes
@@ -67,6 +68,31 @@ def test_union_and_top_k(spark):
     assert {(r.t, r["rank"]) for r in top_k(s, 2, 0.1, ("q",)).collect()} == {(2, 0), (3, 1), (4, 0)}
 
 
+def joined_search(records, passes, rescore, budget):
+    """What search returns, by joins over all keys."""
+    q, t = catalog.shared_sides(records, list(dict.fromkeys([v for p in passes for v in p.weights] + list(rescore))))
+    every = blocking.union_passes({p.name: blocking.retrieve(q, t, p) for p in passes})
+    scored = blocking.pair_cosines(every, q, t, list(rescore)).withColumn("candidate_score", F.round(blocking.candidate_score(rescore, F.lit(False)), 6))
+    return every, top_k(scored, budget, 0.0, score="candidate_score").withColumnRenamed("rank", "source_rank")
+
+
+@pytest.mark.parametrize("held", [500_000, 70, 0])
+def test_search_in_memory_equals_joins(spark, monkeypatch, held):
+    rng = random.Random(5)
+    words = [a + b for a in "bcdfglmnprst" for b in ("ar", "el", "il", "on", "um")] + ["12", "7b", "007", "the", "inc"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    rows = [(f"S{i % 3 + 1}-{i}", rng.choice(["us", "us", "fr", "", None, "jp" if i % 3 == 0 else "us"]), i % 3 + 1, text(6), text(8)) for i in range(400)]
+    records = written(spark.createDataFrame(rows + [("S2-x", "us", 2, *rows[0][3:])], "id string, country string, src int, name string, address string"))
+    monkeypatch.setattr(blocking.index, "HELD", held)
+    passes = [blocking.Pass("name", {"name_word": 1.0, "name_pair": 0.5}, 6, 0.05, 25), blocking.Pass("addr", {"addr_word": 1.0, "addr_bigram": 1.0, "name_addr": 0.5}, 4, 0.1, 9)]
+    every, best = joined_search(records, passes, catalog.RESCORE, 3)
+    plain = lambda df, columns: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(columns).collect())
+    columns = ["q", "t", "src", "score_name", "score_addr", "best_rank"]
+    assert plain(blocking.search(records, passes), columns) == plain(every, columns) != []
+    columns += ["sim_name_word", "sim_addr_word", "candidate_score", "source_rank"]
+    assert plain(blocking.search(records, passes, catalog.RESCORE, 3), columns) == plain(best, columns) != []
+
+
 def expected_f(ps, mass, beta=0.5):
     order = sorted(range(len(ps)), key=lambda i: (-ps[i], i))
     total, prefix, best, keep = sum(ps), 0.0, -1.0, 0
