@@ -184,3 +184,12 @@ def test_all_copies_count_as_true(spark, tmp_path):
 def test_rescoring_weights_are_of_the_default_passes(spark):
     got = catalog.QUERIES["rescore_weights"](spark, "/root/testdata/sf0.001").collect()
     assert {r.view for r in got} == set(Config().rescore)
+
+
+def plan(spark, name):
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_budget_ranks_where_pairs_are_made(spark):
+    found = plan(spark, "candidate_budget")
+    assert "MapInArrow" in found and "Window" not in found.split("MapInArrow")[0]
