@@ -193,3 +193,7 @@ def plan(spark, name):
 def test_budget_ranks_where_pairs_are_made(spark):
     found = plan(spark, "candidate_budget")
     assert "MapInArrow" in found and "Window" not in found.split("MapInArrow")[0]
+
+
+def test_passes_meet_without_a_shuffle_of_pairs(spark):
+    assert "Aggregate" not in plan(spark, "union_passes").split("MapInArrow")[0]
