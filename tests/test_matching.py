@@ -197,3 +197,7 @@ def test_budget_ranks_where_pairs_are_made(spark):
 
 def test_passes_meet_without_a_shuffle_of_pairs(spark):
     assert "Aggregate" not in plan(spark, "union_passes").split("MapInArrow")[0]
+
+
+def test_split_cleans_texts_once(spark):
+    assert "text#" not in plan(spark, "val_split")
