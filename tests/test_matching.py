@@ -201,3 +201,7 @@ def test_passes_meet_without_a_shuffle_of_pairs(spark):
 
 def test_split_cleans_texts_once(spark):
     assert "text#" not in plan(spark, "val_split")
+
+
+def test_structure_of_true_pairs_reads_documents_once_a_side(spark):
+    assert plan(spark, "jaccard_tokens").count("Relation [") == 2
