@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity
@@ -20,12 +20,32 @@ CONTEXT = ["q_margin", "q_rank", "q_size", "qs_margin", "t_margin", "t_rank", "t
 FEATURES = [*STRINGS, *TOKENS, *STRUCTURE, *BLOCKING, *CONTEXT, "is_s2"]
 
 
-def match_records(records: DataFrame) -> DataFrame:
-    """One row a record with all that pairs read of it, so that it is derived once a record and not once a pair."""
+def match_records(records: DataFrame, columns=()) -> DataFrame:
+    """One row a record with all that pairs read of it, so that it is derived once a record and not once a pair, and further columns."""
     r = with_tokens(records)
     name = F.array_join("nt", " ")
     numbers = F.array_distinct(F.filter("at", lambda x: x.rlike(r"^\d+$")))
-    return r.select("id", name.alias("name"), phonetic_name("nt").alias("phon"), F.array_join("at", " ").alias("addr"), F.array_distinct("nt").alias("names"), F.array_distinct("at").alias("addrs"), numbers.alias("nums"), house_number("at").alias("house"), F.try_element_at("nt", F.lit(1)).alias("first"), F.length(F.array_join("nt", "")).alias("len"), (F.size("at") > 0).alias("has"))
+    return r.select("id", name.alias("name"), phonetic_name("nt").alias("phon"), F.array_join("at", " ").alias("addr"), F.array_distinct("nt").alias("names"), F.array_distinct("at").alias("addrs"), numbers.alias("nums"), house_number("at").alias("house"), F.try_element_at("nt", F.lit(1)).alias("first"), F.length(F.array_join("nt", "")).alias("len"), (F.size("at") > 0).alias("has"), *columns)
+
+
+def sides(records: DataFrame, c: str) -> DataFrame:
+    """The columns of match_records as those of one side, q or c, of pairs."""
+    return records.select(*(F.col(x).alias(f"{c}_{x}") for x in records.columns))
+
+
+def compared() -> dict[str, Column]:
+    """TOKENS, STRUCTURE and is_s2 of pairs that hold both sides and src."""
+    both, columns = F.col("q_has") & F.col("c_has"), {}
+    for v, field in (("name", "names"), ("addr", "addrs"), ("num", "nums")):
+        inter, nq, nc = F.size(F.array_intersect(f"q_{field}", f"c_{field}")), F.size(f"q_{field}"), F.size(f"c_{field}")
+        jaccard = F.try_divide(inter.cast("double"), (nq + nc - inter).cast("double"))
+        columns |= {f"{v}_inter": F.when(both, inter) if v == "addr" else inter, f"{v}_jaccard": F.when(both, jaccard) if v == "addr" else jaccard, f"{v}_count_q": nq, f"{v}_count_c": nc}
+    columns["num_conflict"] = F.when((F.size("q_nums") > 0) & (F.size("c_nums") > 0), (F.size(F.array_intersect("q_nums", "c_nums")) == 0).cast("int"))
+    columns["house_eq"] = (F.col("q_house") == F.col("c_house")).cast("int")
+    columns["house_prefix"] = (F.col("q_house").startswith(F.col("c_house")) | F.col("c_house").startswith(F.col("q_house"))).cast("int")
+    columns["first_token_eq"] = F.coalesce((F.col("q_first") == F.col("c_first")).cast("int"), F.lit(0))
+    columns |= {"name_len_q": F.col("q_len"), "name_len_c": F.col("c_len"), "has_addr_q": F.col("q_has").cast("int"), "has_addr_c": F.col("c_has").cast("int"), "is_s2": (F.col("src") == 2).cast("int")}
+    return columns
 
 
 def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -38,14 +58,6 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     columns = {n: similarity(m, F.col("q_name"), F.col("c_name")) for n, m in NAME_METRICS.items()}
     columns["name_phon_ratio"] = similarity("ratio", F.col("q_phon"), F.col("c_phon"))
     columns |= {n: similarity(m, known["q"], known["c"]) for n, m in ADDRESS_METRICS.items()}
-    for v, field in (("name", "names"), ("addr", "addrs"), ("num", "nums")):
-        inter, nq, nc = F.size(F.array_intersect(f"q_{field}", f"c_{field}")), F.size(f"q_{field}"), F.size(f"c_{field}")
-        jaccard = F.try_divide(inter.cast("double"), (nq + nc - inter).cast("double"))
-        columns |= {f"{v}_inter": F.when(both, inter) if v == "addr" else inter, f"{v}_jaccard": F.when(both, jaccard) if v == "addr" else jaccard, f"{v}_count_q": nq, f"{v}_count_c": nc}
-    columns["num_conflict"] = F.when((F.size("q_nums") > 0) & (F.size("c_nums") > 0), (F.size(F.array_intersect("q_nums", "c_nums")) == 0).cast("int"))
-    columns["house_eq"] = (F.col("q_house") == F.col("c_house")).cast("int")
-    columns["house_prefix"] = (F.col("q_house").startswith(F.col("c_house")) | F.col("c_house").startswith(F.col("q_house"))).cast("int")
-    columns["first_token_eq"] = F.coalesce((F.col("q_first") == F.col("c_first")).cast("int"), F.lit(0))
-    columns |= {"name_len_q": F.col("q_len"), "name_len_c": F.col("c_len"), "has_addr_q": F.col("q_has").cast("int"), "has_addr_c": F.col("c_has").cast("int"), "is_s2": (F.col("src") == 2).cast("int")}
+    columns |= compared()
     context = context_features(pairs.select("q", "t", "src", F.col("candidate_score").alias("score"), F.greatest("sim_name_char", "sim_name_phon").alias("name_sim"))).select("q", "t", *CONTEXT)
     return out.withColumns(columns).select(*pairs.columns, *(f for f in FEATURES if f not in pairs.columns and f not in CONTEXT)).join(context, ["q", "t"])

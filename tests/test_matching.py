@@ -205,3 +205,8 @@ def test_split_cleans_texts_once(spark):
 
 def test_structure_of_true_pairs_reads_documents_once_a_side(spark):
     assert plan(spark, "jaccard_tokens").count("Relation [") == 2
+
+
+def test_pair_structure_reads_documents_once_a_side(spark):
+    found = plan(spark, "pair_structure")
+    assert found.count("Relation [") == 2 and found.count("Join") == 1
