@@ -1,4 +1,5 @@
 import random
+import re
 
 import duckdb
 import pytest
@@ -95,3 +96,11 @@ def test_similarities():
     assert S.lcs("kitten", "sitting") == 4
     assert S.token_set("a b", "b a c") == 1 and S.token_set("", "a") == 0 and S.partial("abc", "xxabcxx") == 1
     assert round(S.jaro_winkler("martha", "marhta"), 4) == 0.9611 and S.indel("", "") == 1 and S.partial_token_set("a b", "b c") == 1
+
+
+def test_region_scan_starts_only_where_a_name_may(spark):
+    names = [n for spelled in INDIA_REGIONS.values() for n in spelled if len(n) > 2]
+    pattern = re.compile(T._beginnings(names))
+    assert all(pattern.search(n.split()[0]) for n in names)
+    assert all(pattern.search(w) for w in ("m", "mah", "kharnatak", "ph", "xyz", "Andhra", "uththar"))
+    assert not any(pattern.search(w) for w in ("12", "street", "floor", "road", "thing", "zebra"))
