@@ -104,3 +104,10 @@ def test_region_scan_starts_only_where_a_name_may(spark):
     assert all(pattern.search(n.split()[0]) for n in names)
     assert all(pattern.search(w) for w in ("m", "mah", "kharnatak", "ph", "xyz", "Andhra", "uththar"))
     assert not any(pattern.search(w) for w in ("12", "street", "floor", "road", "thing", "zebra"))
+
+
+def test_partial_of_many_equals_one_by_one():
+    rng = random.Random(3)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    pairs = [(some("ab ", 9), some("abc", 9)) for _ in range(2000)] + [(some("abé中𝒜", 5), some("abé中", 8)) for _ in range(2000)] + [("ab" * 70, "ba" * 70 + "a" * (i % 2)) for i in range(20)]
+    assert list(S.partial_many(pairs)) == [S.partial(a, b) for a, b in pairs]
