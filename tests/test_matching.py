@@ -210,3 +210,23 @@ def test_structure_of_true_pairs_reads_documents_once_a_side(spark):
 def test_pair_structure_reads_documents_once_a_side(spark):
     found = plan(spark, "pair_structure")
     assert found.count("Relation [") == 2 and found.count("Join") == 1
+
+
+def test_default_blocking_makes_pairs_in_memory(spark):
+    found = plan(spark, "blocking_default")
+    assert "MapInArrow" in found and "Window" not in found.split("MapInArrow")[0]
+
+
+def test_blocking_in_memory_equals_joins(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [a + b + c for a in "bcdfgt" for b in ("ar", "el", "schi", "ow") for c in ("", "k", "anter")] + ["12", "7b", "007", "the", "a", "naïve", "ⓧ9"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    rows = [(f"S{i % 3 + 1}-{i}", rng.choice(["us", "us", "fr", None, "jp" if i % 3 == 0 else "us"]), i % 3 + 1, text(6), rng.choice(["", text(8)])) for i in range(300)]
+    rows += [("S1-z", "us", 1, "жук ж" + "x" * 70, "12 ёж"), ("S2-x", "us", 2, *rows[0][3:]), ("S2-y", "us", 2, "a " * 40 + "bar cel " * 9, "12 row " * 30)]
+    records = written(spark.createDataFrame(rows, "id string, country string, src int, name string, address string"))
+    plain = lambda: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in candidates(records).select(columns).collect())
+    columns = ["q", "t", "src", "score_name", "score_addr", "score_name_addr", "best_rank", *(f"sim_{v}" for v in Config().rescore), "missing_address", "candidate_score", "source_rank"]
+    monkeypatch.setattr(blocking.index, "BLOCK", 50)
+    held = plain()
+    monkeypatch.setattr(blocking.index, "HELD", 0)
+    assert held == plain() != [] and {r[-3] for r in held} == {True, False}
