@@ -8,6 +8,7 @@ from linkwright import catalog
 from linkwright.operators import blocking
 from linkwright.operators import decision as D
 from linkwright.operators import metrics as M
+from linkwright.operators import models
 from linkwright.operators.blocking import Config, candidates, top_k, union_passes
 from linkwright.operators.features import FEATURES, match_records, pair_features
 from linkwright.plans.matching import blocking_records, matches
@@ -230,3 +231,26 @@ def test_blocking_in_memory_equals_joins(spark, monkeypatch):
     held = plain()
     monkeypatch.setattr(blocking.index, "HELD", 0)
     assert held == plain() != [] and {r[-3] for r in held} == {True, False}
+
+
+def test_weights_streamed_equal_those_of_written_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [a + b for a in "bcdfglmnprst" for b in ("ar", "el", "schi", "on", "um")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(1, n)))
+    rows = [(f"S{i % 3 + 1}-{i}", rng.choice(["us", "fr"]), i % 3 + 1, text(5), text(6), f"{i}") for i in range(240)]
+    near = lambda x: " ".join(w for w in x.split() if rng.random() < 0.8)
+    rows += [(f"S2-c{i}", r[1], 2, near(r[3]), near(r[4]), r[5]) for i, r in enumerate(rows) if r[2] == 1]
+    records = written(spark.createDataFrame(rows, "id string, country string, src int, name string, address string, tag string"))
+    config, views = Config(), list(Config().rescore)
+    pairs = blocking.LabelledPairs(records, config.passes, views)
+    q, t = catalog.shared_sides(records, config.views)
+    classes = records.select("id", F.col("tag").alias("h"))
+    joined = catalog.labelled(blocking.pair_cosines(union_passes({p.name: blocking.retrieve(q, t, p) for p in config.passes}), q, t, views), classes)
+    plain = lambda df: sorted(tuple(round(x, 6) for x in r) for r in df.select(*(f"sim_{v}" for v in views), "label").collect())
+    assert plain(pairs.rows()) == plain(joined) and {r[-1] for r in plain(joined)} == {0, 1}
+    want = models.rescore_weights(written(joined).withColumn("missing_address", F.lit(False)), views)
+    assert models.rescore_weights_streamed(pairs) == want
+    close = lambda got: all(abs(got[v] - want[v]) < 0.01 for v in views)
+    assert close(models.rescore_weights_streamed(pairs, start=40))
+    monkeypatch.setattr(blocking.index, "HELD", 90)
+    assert close(models.rescore_weights_streamed(blocking.LabelledPairs(records, config.passes, views), start=40))
