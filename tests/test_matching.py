@@ -1,11 +1,12 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from linkwright import catalog
-from linkwright.operators import blocking
+from linkwright.operators import blocking, index
 from linkwright.operators import decision as D
 from linkwright.operators import metrics as M
 from linkwright.operators import models
@@ -254,3 +255,50 @@ def test_weights_streamed_equal_those_of_written_pairs(spark, monkeypatch):
     assert close(models.rescore_weights_streamed(pairs, start=40))
     monkeypatch.setattr(blocking.index, "HELD", 90)
     assert close(models.rescore_weights_streamed(blocking.LabelledPairs(records, config.passes, views), start=40))
+
+
+def packed_records(rng, kind, name, n):
+    words = [a + b + c for a in "bcdfgt" for b in ("ar", "el", "schi", "ow") for c in ("", "k", "anter")] + ["12", "7b", "007", "the", "a", "naïve", "ⓧ9"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    rows = [(f"{name}-{i}", text(6), rng.choice(["", text(8)]), text(5), f"{i % 50}") for i in range(n)]
+    rows += [(f"{name}-x", "жук ж" + "x" * 70, "12 ёж", "gg tt", ""), (f"{name}-y", "a " * 40 + "bar cel " * 9, "12 row " * 30, "gr " * 20, "")]
+    rng.shuffle(rows)
+    for at in range(0, len(rows), 97):
+        some = rows[at : at + 97]
+        fixed = [pa.array([x] * len(some), pa.int32()) for x in (0, 1, kind, 2)]
+        batch = pa.RecordBatch.from_arrays([*fixed, *map(pa.array, zip(*some))], names=["g", "copies", "kind", "src", *index.TEXTS])
+        yield from index._packed(iter([batch]))
+
+
+SEARCHES = {
+    "retrieve_name_addr": ((catalog.MIX_PASS,), {}, 0, 0.0, 6, False),
+    "retrieve_addr": ((catalog.ADDR_PASS,), {}, 0, 0.0, 6, False),
+    "retrieve_name": ((catalog.NAME_PASS,), {}, 0, 0.0, 6, False),
+    "union_passes": ((catalog.NAME_PASS, catalog.ADDR_PASS), {}, 0, 0.0, 6, False),
+    "candidate_budget": ((catalog.NAME_PASS, catalog.ADDR_PASS), catalog.RESCORE, 15, 0.0, 6, False),
+    "blocking_default": (Config().passes, Config().rescore, 15, 0.0, 0, True),
+    "rescore_weights": (Config().passes, Config().rescore, 0, 0.0, 0, False, True),
+    "rare": ((blocking.Pass("name", {"name_word": 1.0, "name_pair": 1.0}, 6, 0.05, 25), blocking.Pass("addr", {"addr_bigram": 1.0, "name_addr": 0.5}, 4, 0.1, 9)), catalog.RESCORE, 3, 0.0, 6, False),
+}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_search_of_many_targets_equals_that_of_few(monkeypatch, name):
+    """Many: keys are made for a block of queries at a time, sorted in ranges or counted."""
+    rng = random.Random(3)
+    rows = [*packed_records(rng, 0, "S2", 400), *packed_records(rng, 1, "S1", 120)]
+    plain = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r.values()) for b in index._searched(*SEARCHES[name])(iter(rows)) for r in b.to_pylist())
+    few = plain()
+    monkeypatch.setattr(index, "NARROW", 0)
+    for sizes in ({}, {"SORTED": 300, "COUNTED": 50, "ASKED": 200, "QUERIES": 32}, {"SORTED": 100_000, "COUNTED": 0, "ASKED": 1, "QUERIES": 20}):
+        for k, v in sizes.items():
+            monkeypatch.setattr(index, k, v)
+        assert plain() == few != []
+
+
+@pytest.mark.parametrize("views, blank", [(["name_word"], "addresses"), (["addr_word"], "names")])
+def test_words_that_no_view_reads_are_not_written(spark, views, blank):
+    records = spark.createDataFrame([("S1-1", "us", 1, "one two", "3 four")], "id string, country string, src int, name string, address string")
+    row = blocking.searched_texts(records, views)[0].first()
+    assert row[blank] == "" and {row.names, row.addresses} != {""}
+    assert "" not in blocking.searched_texts(records, ["name_word"], missing=True)[0].first()
