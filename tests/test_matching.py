@@ -302,3 +302,13 @@ def test_words_that_no_view_reads_are_not_written(spark, views, blank):
     row = blocking.searched_texts(records, views)[0].first()
     assert row[blank] == "" and {row.names, row.addresses} != {""}
     assert "" not in blocking.searched_texts(records, ["name_word"], missing=True)[0].first()
+
+
+def test_many_targets_are_searched_everywhere_for_a_country_without_any(spark, monkeypatch):
+    words = ["bar", "cel", "dow", "fan", "gil", "tor"]
+    rows = [(f"S{i % 3 + 1}-{i}", "es" if i % 3 == 0 else ["fr", "us"][i % 2], i % 3 + 1, f"{words[i % 6]} {words[i // 6 % 6]} n{i % 11}", "") for i in range(120)]
+    records = written(spark.createDataFrame(rows, "id string, country string, src int, name string, address string"))
+    found = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in blocking.search(records, [catalog.NAME_PASS]).collect())
+    few = found()
+    monkeypatch.setattr(index, "NARROW", 0)
+    assert found() == few != []
